@@ -4,12 +4,12 @@
    every training token whose term the test set uses, as a Parquet table in the
    shared folder. A sentinel posting for each row holds its word count, so the
    texts are never read again.
-2. Anchors: corpus counts of the test terms name the rarest term of every test
-   window; the anchors of an item are the places so named. Every occurrence of
-   a window holds its anchor.
-3. Intersection: an anchor's postings, less its offset in the item, are the
-   alignments (row, item, diagonal) to try. The lists of all the item's terms,
-   adjusted by their offsets, are intersected along those diagonals only.
+2. Anchors: corpus counts of the test terms name the two rarest places of every
+   test window. Every occurrence of a window holds both.
+3. Intersection: the anchors' postings, less their offsets in the item, meet in
+   the alignments (row, item, diagonal) to try. The lists of all the item's
+   terms, adjusted by their offsets, are intersected along those diagonals only.
+   Where proximity is asked for, one anchor is enough for an alignment.
 4. Runs of consecutive matches as long as a window are exact phrases. Along a
    band of ``slop`` diagonals, items of which a share of the words matched
    without an exact phrase are proximity matches.
@@ -62,14 +62,16 @@ def build_index(docs: DataFrame, vocabulary: DataFrame, n_vocabulary: int, id_co
     return written(held.select("rid", F.when(F.col("term") == SENTINEL, F.col("doc_id")).alias("doc_id"), "term", "pos"), "postings")
 
 
-def anchors(items: DataFrame, counts: DataFrame, window: int) -> DataFrame:
-    """The rarest place of every window: (item, ipos, term). Windows with a term that no text has are dropped."""
+def anchors(items: DataFrame, counts: DataFrame, window: int, depth: int) -> DataFrame:
+    """The ``depth`` rarest places of every window, one row a place: (item, places, ipos, term). Windows with a term that no text has are dropped."""
     length = F.least("n", F.lit(window))
     starts = items.join(counts, "term", "left").withColumn("count", F.coalesce("count", F.lit(0))).withColumn(
         "start", F.explode(F.sequence(F.greatest(F.col("ipos") - length + 1, F.lit(0)), F.least("ipos", F.col("n") - length))))
     rarest = Window.partitionBy("item", "start").orderBy("count", "term", "ipos")
-    chosen = starts.withColumn("rank", F.row_number().over(rarest)).filter("rank = 1 and count > 0")
-    return chosen.select("item", "ipos", "term").distinct()
+    chosen = starts.withColumn("rank", F.row_number().over(rarest)).filter(F.col("rank") <= depth)
+    places = chosen.groupBy("item", "start").agg(F.sort_array(F.collect_list(F.struct("ipos", "term"))).alias("at"), F.min("count").alias("least"))
+    places = places.filter("least > 0").select("item", "at").distinct()
+    return places.select("item", F.col("at.ipos").alias("places"), F.explode("at").alias("p")).select("item", "places", "p.ipos", "p.term")
 
 
 class Matches:
@@ -84,8 +86,10 @@ class Matches:
         self.postings = written_index = build_index(docs, vocabulary, n_vocabulary, doc_id, doc_text)
         tokens = written_index.filter(F.col("term") != SENTINEL).select("rid", "term", "pos")
         counts = tokens.groupBy("term").agg(F.count("*").alias("count"))
-        places = written(anchors(self.items, counts, window), "anchors")
-        tried = tokens.join(_small(places, places.count(), BROADCAST_TERMS), "term").select("rid", "item", (F.col("pos") - F.col("ipos")).alias("diagonal"))
+        places = written(anchors(self.items, counts, window, depth=1 if slop else 2), "anchors")
+        lists = tokens.join(_small(places, places.count(), BROADCAST_TERMS), "term").select("rid", "item", "places", (F.col("pos") - F.col("ipos")).alias("diagonal"))
+        met = lists.groupBy("rid", "item", "places", "diagonal").agg(F.count("*").alias("n"))  # a place of a row is one posting
+        tried = met.filter(F.col("n") == F.size("places")).select("rid", "item", "diagonal")
         if slop:
             tried = tried.withColumn("diagonal", F.explode(F.sequence(F.col("diagonal") - slop, F.col("diagonal") + slop)))
         tried = written(tried.distinct(), "alignments")
