@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from logstrata.llm import decontaminate, mixing, quality_rules, sharding
+from logstrata.llm import decontaminate, jaccard_join, mixing, quality_rules, sharding
 
 SHARDS = tuple(f"shard-{i:03d}" for i in range(64))
 
@@ -27,6 +27,21 @@ def op4_mixing(spark, sf_dir):
         "doc_id", "size", "source_size", "target", "taken", "source", "shard", "quota", "passes", "first_word", "tail_words", "head_words")
 
 
+def op5_jaccard_join(spark, sf_dir):
+    return jaccard_join.join(_t(spark, sf_dir, "documents"), n=4, percent=85)
+
+
+OP5_SQL = r"""with recursive d as (select row_number() over () as rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+sh as (select distinct rid, list_slice(w, i, i + 3) as s from (select rid, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) as i from d where len(w) > 0)),
+n as (select rid, count(*) as n from sh group by rid),
+shared as (select rid, s from (select rid, s, count(*) over (partition by s) as df from sh) where df > 1),
+met as (select a.rid as x, b.rid as y, count(*) as k from shared a join shared b on a.s = b.s and a.rid < b.rid group by all),
+link as (select x, y from met join n nx on nx.rid = x join n ny on ny.rid = y where 100 * k >= 85 * (nx.n + ny.n - k)),
+e as (select x as a, y as b from link union select y, x from link),
+reach as (select rid, rid as r from d union select reach.rid, e.b from reach join e on e.a = reach.r)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, min(o.doc_id) as component_id from d left join n using (rid) join reach on reach.rid = d.rid join d o on o.rid = reach.r group by d.rid, d.doc_id, n.n"""
+
+
 def op9_quality_rules(spark, sf_dir):
     ledger = quality_rules.apply_policy(quality_rules.evaluate(_t(spark, sf_dir, "documents")), "strict-1")
     return ledger.select(
@@ -71,6 +86,7 @@ from d left join hit using (rid) left join it using (rid)"""
 _QUERIES = {
     "op3_sharding": (op3_sharding, OP3_SQL),
     "op4_mixing": (op4_mixing, None),
+    "op5_jaccard_join": (op5_jaccard_join, OP5_SQL),
     "op9_quality_rules": (op9_quality_rules, OP9_SQL),
     "op10_decontaminate": (op10_decontaminate, OP10_SQL),
 }
