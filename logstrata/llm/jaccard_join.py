@@ -40,21 +40,6 @@ MAX_HOT = 1_000_000
 BROADCAST_NODES = 2_000_000
 
 
-def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n, fp) of every row."""
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            texts, sizes, prints = hashing.texts_of(batch.column("_text")), [0] * batch.num_rows, [None] * batch.num_rows
-            for i, s in hashing.shingle_sets(texts, n):
-                sizes[i], prints[i] = len(s), hashing.fingerprint(s) if len(s) else None
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary())], ["doc_id", "n_shingles", "fp"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, n_shingles bigint, fp binary")
-
-
 def _distinct(batch, n):
     """(fingerprint, set) of the texts of a batch, once each."""
     seen = set()
@@ -103,39 +88,58 @@ def prefix(s, hot, percent: int):
 
 
 def _grouped(docs: DataFrame, n: int, hot, percent: int) -> DataFrame:
-    """(fp, n, g, prefix); g names a prefix with its size."""
+    """(doc_id, fp, n, g, prefix) of every row; g names a prefix with its size. A set that repeats in a batch has its prefix once; an empty one has no fp."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            rows = [(fp, len(s), prefix(s, shared.value, percent)) for fp, s in _distinct(batch, n)]
-            if rows:
-                groups = [int(np.frombuffer(hashing.fingerprint(np.append(p, np.uint64(size))), np.int64)[0]) for _, size, p in rows]
-                lists = pa.ListArray.from_arrays(np.cumsum([0] + [len(p) for *_, p in rows]).astype(np.int32), np.concatenate([p for *_, p in rows]).view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array([fp for fp, *_ in rows], pa.binary()), pa.array([size for _, size, _ in rows], pa.int32()), pa.array(groups, pa.int64()), lists], ["fp", "n", "g", "prefix"])
+            prints, sizes, groups, prefixes, seen = [], [], [], [], {}
+            for _, s in hashing.shingle_sets(hashing.texts_of(batch.column("_text")), n):
+                fp, p = hashing.fingerprint(s) if len(s) else None, None
+                if len(s) and fp not in seen:
+                    p = prefix(s, shared.value, percent)
+                    seen[fp] = int(np.frombuffer(hashing.fingerprint(np.append(p, np.uint64(len(s)))), np.int64)[0])
+                prints.append(fp)
+                sizes.append(len(s))
+                groups.append(seen.get(fp))
+                prefixes.append(p)
+            kept = [p for p in prefixes if p is not None]
+            ends = np.cumsum([0] + [len(p) if p is not None else 0 for p in prefixes])
+            offsets = pa.array(ends.astype(np.int32), mask=np.array([p is None for p in prefixes] + [False]))
+            lists = pa.ListArray.from_arrays(offsets, np.concatenate(kept).view(np.int64) if kept else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints, pa.binary()), pa.array(sizes, pa.int64()), pa.array(groups, pa.int64()), lists], ["doc_id", "fp", "n", "g", "prefix"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.mapInArrow(run, f"doc_id {kind}, fp binary, n bigint, g bigint, prefix array<bigint>")
 
-    return docs.select("_text").mapInArrow(run, "fp binary, n int, g bigint, prefix array<bigint>")
 
+def verified(docs: DataFrame, nodes: DataFrame, n: int, percent: int, pairs: DataFrame) -> DataFrame:
+    """The pairs (u, v) of fingerprints whose sets reach ``percent``, on the whole sets.
 
-def verified(docs: DataFrame, n: int, percent: int, pairs: DataFrame) -> DataFrame:
-    """The pairs (u, v) of fingerprints whose sets reach ``percent``, on the whole sets."""
-    nodes = written(pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct(), "nodes")
-    count = nodes.count()
+    Sets are made again from one text of each node, ``nodes`` (fp, least) naming
+    its doc_id. Their one shuffle, by fp, serves both sides of the join.
+    """
+    asked = written(pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct().join(nodes, "fp").withColumnRenamed("least", "doc_id"), "nodes")
+    count = asked.count()
+    if not count:
+        return pairs
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            held, size = [], 0
-            made = lambda: pa.RecordBatch.from_arrays([pa.array([fp for fp, _ in held], pa.binary()), pa.array([s.tobytes() for _, s in held], pa.binary())], ["fp", "hashes"])  # noqa: E731, B023
-            for fp, s in _distinct(batch, n):
-                held.append((fp, s))
+            ids, held, size = [], [], 0
+            made = lambda: pa.RecordBatch.from_arrays([pa.array(ids, batch.column("doc_id").type), pa.array([hashing.fingerprint(s) for s in held], pa.binary()), pa.array([s.tobytes() for s in held], pa.binary())], ["doc_id", "fp", "hashes"])  # noqa: E731, B023
+            names = batch.column("doc_id").to_pylist()
+            for i, s in hashing.shingle_sets(hashing.texts_of(batch.column("_text")), n):
+                ids.append(names[i])
+                held.append(s)
                 size += len(s)
-                if size > 500_000:
+                if size > 300_000:
                     yield made()
-                    held, size = [], 0
+                    ids, held, size = [], [], 0
             if held:
                 yield made()
 
@@ -144,15 +148,17 @@ def verified(docs: DataFrame, n: int, percent: int, pairs: DataFrame) -> DataFra
 
         for batch in batches:
             good = []
-            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
-                a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+            for a, b in zip(batch.column("a"), batch.column("b")):
+                a, b = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
                 both = len(np.intersect1d(a, b, assume_unique=True))
                 good.append(100 * both >= percent * (len(a) + len(b) - both))
             yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
-    asked = F.broadcast(nodes) if count <= BROADCAST_NODES else nodes
-    sets = docs.select("_text").mapInArrow(run, "fp binary, hashes binary").join(asked, "fp", "left_semi").groupBy("fp").agg(F.first("hashes").alias("hashes"))
-    sets = written(sets, "sets")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    asked = F.broadcast(asked) if count <= BROADCAST_NODES else asked
+    made = docs.mapInArrow(run, f"doc_id {kind}, fp binary, hashes binary")
+    one = made.join(asked.withColumnsRenamed({"fp": "_fp", "doc_id": "_id"}), (F.col("fp") == F.col("_fp")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    sets = one.groupBy("fp").agg(F.max("hashes").alias("hashes"))
     left = pairs.join(sets.select(F.col("fp").alias("u"), F.col("hashes").alias("a")), "u")
     both = left.join(sets.select(F.col("fp").alias("v"), F.col("hashes").alias("b")), "v").select("u", "v", "a", "b")
     return written(both.mapInArrow(judge, "u binary, v binary"), "links")
@@ -162,51 +168,63 @@ def _fits(n1, n2, percent: int):
     return 100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)
 
 
-def links(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Enough links (u, v) between nodes to join every component."""
-    groups = written(_grouped(docs, n, _hot(docs, n), percent), "groups")
-    entries = groups.select("g", "n", F.posexplode("prefix").alias("pos", "token"))
+def _met(n1, n2, percent: int):
+    """How many prefix shingles two sets of these sizes share at least, if they link: the overlap less what can lie behind either prefix."""
+    rest = lambda n: F.ceil(F.lit(percent) * n / 100) - 1
+    return F.ceil(F.lit(percent) * (n1 + n2) / (100 + percent)) - F.greatest(rest(n1), rest(n2))
+
+
+def links(docs: DataFrame, rows: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
+    """Enough links (u, v) between nodes to join every component. ``rows`` is the grouped table."""
+    groups = rows.filter("prefix is not null")
+    entries = groups.select("g", "n", F.explode("prefix").alias("token"))
     by_size = Window.partitionBy("token").orderBy("n", "g")
     beside = entries.withColumn("g0", F.lag("g").over(by_size)).withColumn("n0", F.lag("n").over(by_size)).withColumn("g1", F.lead("g").over(by_size))
-    lists = written(beside.filter("g0 != g or g1 != g"), "lists")
+    lists = written(beside.filter("g0 != g or g1 != g").drop("g1"), "lists")
     members = written(groups.select("g", "n", "fp").distinct(), "members")
     heads = members.groupBy("g").agg(F.min("fp").alias("fp"))
-    steps = lists.filter("g0 != g").filter(_fits(F.col("n"), F.col("n0"), percent)).select("g", "g0").distinct()
+    # Each group's likeliest neighbour only: what this misses, the second step finds.
+    steps = lists.filter("g0 != g").filter(_fits(F.col("n"), F.col("n0"), percent)).groupBy("g", "n", "g0", "n0").agg(F.count("*").alias("k"))
+    steps = steps.filter(3 * F.col("k") >= _met(F.col("n"), F.col("n0"), percent)).groupBy("g").agg(F.max_by("g0", F.struct("k", "g0")).alias("g0"))
     across = steps.join(heads.withColumnRenamed("fp", "u"), "g").join(heads.select(F.col("g").alias("g0"), F.col("fp").alias("v")), "g0").select("u", "v")
     inside = members.withColumn("v", F.lag("fp").over(Window.partitionBy("g").orderBy("fp"))).filter("v is not null").select(F.col("fp").alias("u"), "v")
     ordered = lambda df: df.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u != v").distinct()
     first = written(ordered(across.unionByName(inside)), "pairs")
-    found = verified(docs, n, percent, first)
+    found = verified(docs, nodes, n, percent, first)
 
     labels = components(found)
     placed = written(members.join(labels, F.col("fp") == F.col("node"), "left").select("g", "n", "fp", F.coalesce("component", "fp").alias("c")), "placed")
     group_parts = placed.select("g", "c").distinct()
-    parts = lists.select("token", "g", "n", "pos").distinct().join(group_parts, "g")
+    parts = lists.select("token", "g", "n").distinct().join(group_parts, "g")
     sizes = parts.groupBy("token", "c").agg(F.count("*").alias("k"))
     mixed = sizes.groupBy("token").agg(F.max_by("c", F.struct("k", "c")).alias("largest"), F.count("*").alias("n_parts")).filter("n_parts > 1").drop("n_parts")
     open_lists = written(parts.join(mixed, "token"), "open")
-    a = open_lists.filter("c != largest").select("token", F.col("g").alias("ga"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("c").alias("ca"))
-    b = open_lists.select("token", F.col("g").alias("gb"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("c").alias("cb"), "largest")
-    need = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / (100 + percent))
-    at_most = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))  # of an overlap that starts here
-    met = a.join(b, (a["token"] == b["token"]) & (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("largest")) | (F.col("ga") < F.col("gb")) | ((F.col("ga") == F.col("gb")) & (F.col("ca") < F.col("cb"))))
-                 & _fits(F.col("na"), F.col("nb"), percent) & (at_most >= need)).select("ga", "ca", "gb", "cb")
+    a = open_lists.filter("c != largest").select("token", F.col("g").alias("ga"), F.col("n").alias("na"), F.col("c").alias("ca"))
+    b = open_lists.select("token", F.col("g").alias("gb"), F.col("n").alias("nb"), F.col("c").alias("cb"), "largest")
+    once = (F.col("cb") == F.col("largest")) | (F.col("ga") < F.col("gb")) | ((F.col("ga") == F.col("gb")) & (F.col("ca") < F.col("cb")))
+    met = a.join(b, (a["token"] == b["token"]) & (F.col("ca") != F.col("cb")) & once & _fits(F.col("na"), F.col("nb"), percent))
+    # A pair's side depends on the list's largest component, so both directions count as one.
+    swap = F.struct("ga", "ca") > F.struct("gb", "cb")
+    pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x)).alias(x)
+    met = met.select(pick("ga", "gb"), pick("ca", "cb"), pick("na", "nb"), pick("gb", "ga"), pick("cb", "ca"), pick("nb", "na"))
+    met = met.groupBy("ga", "ca", "na", "gb", "cb", "nb").agg(F.count("*").alias("k")).filter(F.col("k") >= _met(F.col("na"), F.col("nb"), percent)).select("ga", "ca", "gb", "cb")
     same = group_parts.select(F.col("g").alias("ga"), F.col("c").alias("ca")).join(group_parts.select(F.col("g").alias("gb"), F.col("c").alias("cb")), (F.col("ga") == F.col("gb")) & (F.col("ca") < F.col("cb")))
     pairs = met.unionByName(same).distinct()
     own = placed.select("g", "c", "fp")
     second = pairs.join(own.select(F.col("g").alias("ga"), F.col("c").alias("ca"), F.col("fp").alias("u")), ["ga", "ca"]).join(
         own.select(F.col("g").alias("gb"), F.col("c").alias("cb"), F.col("fp").alias("v")), ["gb", "cb"]).select("u", "v")
     second = written(ordered(second).join(first, ["u", "v"], "left_anti"), "pairs")
-    return found.unionByName(verified(docs, n, percent, second))
+    return found.unionByName(verified(docs, nodes, n, percent, second))
 
 
 def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
-    sets = written(_sets(docs, n), "documents")
-    labels = components(links(docs, n, percent))
-    nodes = sets.filter("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("least"))
-    nodes = nodes.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("c"))
-    ids = nodes.groupBy("c").agg(F.min("least").alias("component_id"))
-    named = nodes.join(ids, "c").select("fp", "component_id")
-    return sets.join(named, "fp", "left").select("doc_id", "n_shingles", F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    rows = written(_grouped(docs, n, _hot(docs, n), percent), "groups")
+    nodes = written(rows.filter("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    labels = components(links(docs, rows, nodes, n, percent))
+    named = nodes.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("c"))
+    ids = named.groupBy("c").agg(F.min("least").alias("component_id"))
+    named = named.join(ids, "c").select("fp", "component_id")
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), "fp").join(named, "fp", "left").select(
+        "doc_id", "n_shingles", F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
