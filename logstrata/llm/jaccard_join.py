@@ -38,6 +38,7 @@ LOW = 1 << 62  # hashes below it, read as unsigned, are counted: a quarter of al
 HOT = 50
 MAX_HOT = 1_000_000
 BROADCAST_NODES = 2_000_000
+LONGS = 8  # of a bitmap
 
 
 def _distinct(batch, n):
@@ -87,32 +88,41 @@ def prefix(s, hot, percent: int):
     return np.concatenate((cold[:length], low[is_hot][: max(0, length - len(cold))]))
 
 
+def bitmap(s) -> list[int]:
+    """Which of 64 * LONGS buckets of hashes a set has. Two sets differ in one member at least for each bucket that only one of them has."""
+    bits = np.zeros(64 * LONGS, np.uint8)
+    bits[(s % np.uint64(64 * LONGS)).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.int64).tolist()
+
+
 def _grouped(docs: DataFrame, n: int, hot, percent: int) -> DataFrame:
-    """(doc_id, fp, n, g, prefix) of every row; g names a prefix with its size. A set that repeats in a batch has its prefix once; an empty one has no fp."""
+    """(doc_id, fp, n, g, prefix, bits) of every row; g names a prefix with its size. A set that repeats in a batch has its prefix once; an empty one has no fp."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            prints, sizes, groups, prefixes, seen = [], [], [], [], {}
+            prints, sizes, groups, prefixes, maps, seen = [], [], [], [], [], {}
             for _, s in hashing.shingle_sets(hashing.texts_of(batch.column("_text")), n):
-                fp, p = hashing.fingerprint(s) if len(s) else None, None
+                fp, p, bits = hashing.fingerprint(s) if len(s) else None, None, None
                 if len(s) and fp not in seen:
                     p = prefix(s, shared.value, percent)
+                    bits = bitmap(s)
                     seen[fp] = int(np.frombuffer(hashing.fingerprint(np.append(p, np.uint64(len(s)))), np.int64)[0])
                 prints.append(fp)
                 sizes.append(len(s))
                 groups.append(seen.get(fp))
                 prefixes.append(p)
+                maps.append(bits)
             kept = [p for p in prefixes if p is not None]
             ends = np.cumsum([0] + [len(p) if p is not None else 0 for p in prefixes])
             offsets = pa.array(ends.astype(np.int32), mask=np.array([p is None for p in prefixes] + [False]))
             lists = pa.ListArray.from_arrays(offsets, np.concatenate(kept).view(np.int64) if kept else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints, pa.binary()), pa.array(sizes, pa.int64()), pa.array(groups, pa.int64()), lists], ["doc_id", "fp", "n", "g", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints, pa.binary()), pa.array(sizes, pa.int64()), pa.array(groups, pa.int64()), lists, pa.array(maps, pa.list_(pa.int64()))], ["doc_id", "fp", "n", "g", "prefix", "bits"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, fp binary, n bigint, g bigint, prefix array<bigint>")
+    return docs.mapInArrow(run, f"doc_id {kind}, fp binary, n bigint, g bigint, prefix array<bigint>, bits array<bigint>")
 
 
 def verified(docs: DataFrame, nodes: DataFrame, n: int, percent: int, pairs: DataFrame) -> DataFrame:
@@ -181,11 +191,20 @@ def links(docs: DataFrame, rows: DataFrame, nodes: DataFrame, n: int, percent: i
     by_size = Window.partitionBy("token").orderBy("n", "g")
     beside = entries.withColumn("g0", F.lag("g").over(by_size)).withColumn("n0", F.lag("n").over(by_size)).withColumn("g1", F.lead("g").over(by_size))
     lists = written(beside.filter("g0 != g or g1 != g").drop("g1"), "lists")
-    members = written(groups.select("g", "n", "fp").distinct(), "members")
+    members = written(groups.select("g", "n", "fp", "bits").distinct(), "members")
     heads = members.groupBy("g").agg(F.min("fp").alias("fp"))
-    # Each group's likeliest neighbour only: what this misses, the second step finds.
-    steps = lists.filter("g0 != g").filter(_fits(F.col("n"), F.col("n0"), percent)).groupBy("g", "n", "g0", "n0").agg(F.count("*").alias("k"))
-    steps = steps.filter(3 * F.col("k") >= _met(F.col("n"), F.col("n0"), percent)).groupBy("g").agg(F.max_by("g0", F.struct("k", "g0")).alias("g0"))
+    # Hubs: in each list the group whose own lists are longest, which is what copies with edits were made from. Of these
+    # and of the neighbours by size, each group tries its likeliest only; what this misses, the second step finds.
+    lengths = lists.groupBy("token").agg(F.count("*").alias("length"))
+    scores = lists.select("token", "g").join(lengths, "token").groupBy("g").agg(F.sum("length").alias("score"))
+    hubs = lists.select("token", "g", "n").join(scores, "g").groupBy("token").agg(F.max_by(F.struct("g", "n"), F.struct("score", "g")).alias("hub"))
+    to_hub = lists.select("token", "g", "n").join(hubs, "token").select("g", "n", F.col("hub.g").alias("g0"), F.col("hub.n").alias("n0"))
+
+    def likeliest(tried: DataFrame) -> DataFrame:
+        tried = tried.filter("g0 != g").filter(_fits(F.col("n"), F.col("n0"), percent)).groupBy("g", "n", "g0", "n0").agg(F.count("*").alias("k"))
+        return tried.filter(2 * F.col("k") >= _met(F.col("n"), F.col("n0"), percent)).groupBy("g").agg(F.max_by("g0", F.struct("k", "g0")).alias("g0"))
+
+    steps = likeliest(lists.select("g", "n", "g0", "n0")).unionByName(likeliest(to_hub))
     across = steps.join(heads.withColumnRenamed("fp", "u"), "g").join(heads.select(F.col("g").alias("g0"), F.col("fp").alias("v")), "g0").select("u", "v")
     inside = members.withColumn("v", F.lag("fp").over(Window.partitionBy("g").orderBy("fp"))).filter("v is not null").select(F.col("fp").alias("u"), "v")
     ordered = lambda df: df.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u != v").distinct()
@@ -193,16 +212,21 @@ def links(docs: DataFrame, rows: DataFrame, nodes: DataFrame, n: int, percent: i
     found = verified(docs, nodes, n, percent, first)
 
     labels = components(found)
-    placed = written(members.join(labels, F.col("fp") == F.col("node"), "left").select("g", "n", "fp", F.coalesce("component", "fp").alias("c")), "placed")
+    placed = written(members.join(labels, F.col("fp") == F.col("node"), "left").select("g", "n", "fp", "bits", F.coalesce("component", "fp").alias("c")), "placed")
     group_parts = placed.select("g", "c").distinct()
+    each = range(LONGS)
+    maps = placed.groupBy("g", "c").agg(*[F.bit_and(F.get("bits", F.lit(i))).alias(f"all{i}") for i in each], *[F.bit_or(F.get("bits", F.lit(i))).alias(f"any{i}") for i in each])
     parts = lists.select("token", "g", "n").distinct().join(group_parts, "g")
     sizes = parts.groupBy("token", "c").agg(F.count("*").alias("k"))
     mixed = sizes.groupBy("token").agg(F.max_by("c", F.struct("k", "c")).alias("largest"), F.count("*").alias("n_parts")).filter("n_parts > 1").drop("n_parts")
-    open_lists = written(parts.join(mixed, "token"), "open")
-    a = open_lists.filter("c != largest").select("token", F.col("g").alias("ga"), F.col("n").alias("na"), F.col("c").alias("ca"))
-    b = open_lists.select("token", F.col("g").alias("gb"), F.col("n").alias("nb"), F.col("c").alias("cb"), "largest")
+    open_lists = written(parts.join(mixed, "token").join(maps, ["g", "c"]), "open")
+    bits = lambda side: [F.col(f"{kind}{i}").alias(f"{kind}{i}{side}") for i in each for kind in ("all", "any")]
+    a = open_lists.filter("c != largest").select("token", F.col("g").alias("ga"), F.col("n").alias("na"), F.col("c").alias("ca"), *bits("a"))
+    b = open_lists.select("token", F.col("g").alias("gb"), F.col("n").alias("nb"), F.col("c").alias("cb"), "largest", *bits("b"))
+    apart = sum((F.bit_count(F.col(f"all{i}{x}").bitwiseAND(F.bitwise_not(F.col(f"any{i}{y}")))) for i in each for x, y in ("ab", "ba")), F.lit(0))
+    may_differ = F.col("na") + F.col("nb") - 2 * F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / (100 + percent))
     once = (F.col("cb") == F.col("largest")) | (F.col("ga") < F.col("gb")) | ((F.col("ga") == F.col("gb")) & (F.col("ca") < F.col("cb")))
-    met = a.join(b, (a["token"] == b["token"]) & (F.col("ca") != F.col("cb")) & once & _fits(F.col("na"), F.col("nb"), percent))
+    met = a.join(b, (a["token"] == b["token"]) & (F.col("ca") != F.col("cb")) & once & _fits(F.col("na"), F.col("nb"), percent) & (apart <= may_differ))
     # A pair's side depends on the list's largest component, so both directions count as one.
     swap = F.struct("ga", "ca") > F.struct("gb", "cb")
     pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x)).alias(x)
