@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from logstrata.llm import decontaminate, jaccard_join, mixing, quality_rules, sharding
+from logstrata.llm import decontaminate, jaccard_join, mixing, quality_classifier, quality_rules, sharding, toxicity, url_filter
 
 SHARDS = tuple(f"shard-{i:03d}" for i in range(64))
 
@@ -13,6 +13,10 @@ def _t(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_classifier(spark, sf_dir):
+    return quality_classifier.classify(_t(spark, sf_dir, "documents"))
+
+
 def op3_sharding(spark, sf_dir):
     return sharding.place(_t(spark, sf_dir, "documents").select("doc_id"), SHARDS)
 
@@ -42,6 +46,20 @@ reach as (select rid, rid as r from d union select reach.rid, e.b from reach joi
 select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, min(o.doc_id) as component_id from d left join n using (rid) join reach on reach.rid = d.rid join d o on o.rid = reach.r group by d.rid, d.doc_id, n.n"""
 
 
+URL_RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
+
+
+def op7_url_filter(spark, sf_dir):
+    return url_filter.judge(_t(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+
+
+def op8_toxicity(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, _t(spark, sf_dir, "labels").filter(~toxicity.held_out()))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op9_quality_rules(spark, sf_dir):
     ledger = quality_rules.apply_policy(quality_rules.evaluate(_t(spark, sf_dir, "documents")), "strict-1")
     return ledger.select(
@@ -84,6 +102,9 @@ select doc_id, cast(len(w) as bigint) as n_words, coalesce(hit.n, 0)::bigint as
 from d left join hit using (rid) left join it using (rid)"""
 
 _QUERIES = {
+    "op1_quality_classifier": (op1_quality_classifier, None),
+    "op7_url_filter": (op7_url_filter, None),
+    "op8_toxicity": (op8_toxicity, None),
     "op3_sharding": (op3_sharding, OP3_SQL),
     "op4_mixing": (op4_mixing, None),
     "op5_jaccard_join": (op5_jaccard_join, OP5_SQL),

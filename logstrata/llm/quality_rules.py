@@ -79,9 +79,10 @@ def _chars(text: Column, without: Column) -> Column:
     return (F.length(text) - F.length(without)).cast("bigint")
 
 
-def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repeats: bool = True) -> DataFrame:
+    """The measurements; without ``repeats``, which cost as much as the rest, n_repeat_words is null."""
     text = F.coalesce(F.col("_text"), F.lit(""))
-    counted = let(words(text), lambda w: F.struct(F.size(w).cast("bigint").alias("n"), let(window_hashes(w, WINDOW), _repeats).alias("r"),
+    counted = let(words(text), lambda w: F.struct(F.size(w).cast("bigint").alias("n"), (let(window_hashes(w, WINDOW), _repeats) if repeats else F.lit(None).cast("bigint")).alias("r"),
         F.size(F.filter(w, lambda x, i: x == F.get(w, i - 1))).cast("bigint").alias("s")))
     lines = let(F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
                 lambda x: F.struct(F.size(x).cast("bigint").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("d")))
