@@ -17,18 +17,31 @@ def drop_toxic(spark, docs, sf_dir):
     return toxicity.score(docs, model).filter(F.col("score") < toxicity.THRESHOLD).select(*COLUMNS)
 
 
+def _without(docs, ids):
+    """``docs`` less the rows of these ids (column _gone); they are broadcast where their count allows it."""
+    ids = written(ids.filter("_gone is not null").distinct(), "gone")
+    return docs.join(decontaminate._small(ids, ids.count(), decontaminate.BROADCAST_ROWS), F.col("doc_id") == F.col("_gone"), "left_anti")
+
+
 def drop_copies(spark, docs, sf_dir):
-    """One document of each group of near copies (five words, 0.8) stays: the one whose id is the group's."""
-    groups = jaccard_join.join(docs, n=5, percent=80)
-    first = groups.filter("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
+    """One document of each group of near copies (five words, 0.8) stays: the one whose id is the group's.
+
+    Of rows that repeat an id and a text one stays. Rows without an id can't be named, and stay.
+    """
+    groups = written(jaccard_join.join(docs, n=5, percent=80), "groups")
+    kept = _without(docs, groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")))
+    twice = groups.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select(F.col("doc_id").alias("_gone"))
+    if twice.isEmpty():
+        return kept.select(*COLUMNS)
+    twice = written(twice, "twice")
+    again = kept.join(twice, F.col("doc_id") == F.col("_gone"), "left_semi").dropDuplicates(["doc_id", "text"])
+    return _without(kept, twice).select(*COLUMNS).unionByName(again.select(*COLUMNS))
 
 
 def drop_leaks(spark, docs, sf_dir):
     """Documents with any occurrence of a benchmark window go."""
     found = decontaminate.report(decontaminate.Matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10))
-    leaks = found.filter("contaminated").select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("_leak")), "left_anti").select(*COLUMNS)
+    return _without(docs, found.filter("contaminated").select(F.col("doc_id").alias("_gone"))).select(*COLUMNS)
 
 
 def mix_sources(spark, docs, sf_dir):
