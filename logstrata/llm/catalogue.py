@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from logstrata.llm import decontaminate, jaccard_join, mixing, quality_classifier, quality_rules, sharding, toxicity, url_filter
+from logstrata.llm import decontaminate, jaccard_join, lm_scoring, mixing, quality_classifier, quality_rules, secret_scan, sharding, toxicity, url_filter
 
 SHARDS = tuple(f"shard-{i:03d}" for i in range(64))
 
@@ -17,6 +17,10 @@ def op1_quality_classifier(spark, sf_dir):
     return quality_classifier.classify(_t(spark, sf_dir, "documents"))
 
 
+def op2_secret_scan(spark, sf_dir):
+    return secret_scan.scan(_t(spark, sf_dir, "documents"))
+
+
 def op3_sharding(spark, sf_dir):
     return sharding.place(_t(spark, sf_dir, "documents").select("doc_id"), SHARDS)
 
@@ -46,6 +50,10 @@ reach as (select rid, rid as r from d union select reach.rid, e.b from reach joi
 select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, min(o.doc_id) as component_id from d left join n using (rid) join reach on reach.rid = d.rid join d o on o.rid = reach.r group by d.rid, d.doc_id, n.n"""
 
 
+def op6_lm_scoring(spark, sf_dir):
+    return lm_scoring.score(_t(spark, sf_dir, "documents"))
+
+
 URL_RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 
 
@@ -103,6 +111,8 @@ from d left join hit using (rid) left join it using (rid)"""
 
 _QUERIES = {
     "op1_quality_classifier": (op1_quality_classifier, None),
+    "op2_secret_scan": (op2_secret_scan, None),
+    "op6_lm_scoring": (op6_lm_scoring, None),
     "op7_url_filter": (op7_url_filter, None),
     "op8_toxicity": (op8_toxicity, None),
     "op3_sharding": (op3_sharding, OP3_SQL),
