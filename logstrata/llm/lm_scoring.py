@@ -35,7 +35,7 @@ from logstrata.plans.durable import written
 
 ORDER = 2
 BACKOFF = 0.4
-BATCH = 2 << 20
+BATCH = 1 << 20
 PARTITION = 8 << 20
 
 
@@ -60,6 +60,16 @@ def _slices(batches):
             row += 1
 
 
+def _packed(counts) -> bytes:
+    """Counts in the smallest unsigned type that holds them, after its size."""
+    kind = np.min_scalar_type(int(counts.max()) if len(counts) else 0)
+    return bytes([kind.itemsize]) + counts.astype(kind).tobytes()
+
+
+def _unpacked(data: bytes):
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
+
+
 def _grams(texts: list[bytes]):
     """(words of each text, for each order the hashes of each text's n-grams)."""
     words = [w for _, found in hashing.word_hashes(texts, True) for w in found]
@@ -79,7 +89,7 @@ def requests(docs: DataFrame, bits: int) -> DataFrame:
                 owner = (keys >> np.uint64(64 - bits)).astype(np.int64)
                 cuts = np.flatnonzero(np.diff(owner, prepend=-1))
                 for a, b in zip(cuts, [*cuts[1:], len(keys)]):
-                    rows.append((name, order, int(owner[a]), keys[a:b].tobytes(), counts[a:b].astype(np.int32).tobytes(), int(counts[a:b].sum())))
+                    rows.append((name, order, int(owner[a]), keys[a:b].tobytes(), _packed(counts[a:b]), int(counts[a:b].sum())))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64()))], ["batch", "gram", "part", "keys", "counts", "total"])
 
@@ -92,11 +102,11 @@ def answered(asked: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         keys = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("keys")]
-        own = np.concatenate([np.frombuffer(x.as_buffer(), np.int32) for x in table.column("counts")])
+        own = np.concatenate([_unpacked(x.as_py()) for x in table.column("counts")])
         _, places = np.unique(np.concatenate(keys), return_inverse=True)
         sums = np.bincount(places, weights=own)[places].astype(np.int64)
         cuts = np.cumsum([0] + [len(k) for k in keys])
-        answers = [sums[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
+        answers = [_packed(sums[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
         return pa.table({"batch": table.column("batch"), "gram": table.column("gram"), "part": table.column("part"), "counts": pa.array(answers, pa.binary()), "total": table.column("total")})
 
     return asked.groupBy("gram", "part").applyInArrow(count, "batch binary, gram int, part bigint, counts binary, total bigint")
@@ -152,7 +162,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 words, pairs = _grams(batch.column("texts")[i].as_py())
                 found = {1: [], 2: []}
                 for a in sorted(batch.column("answers")[i].as_py() or [], key=lambda a: a["part"]):
-                    found[a["gram"]].append(np.frombuffer(a["counts"], np.int64))
+                    found[a["gram"]].append(_unpacked(a["counts"]))
                 counts = {k: np.concatenate(x) if x else np.zeros(0, np.int64) for k, x in found.items()}
                 made = list(scored(words, pairs, counts, total))
                 sizes, sums = [n for n, _ in made], [s for _, s in made]
