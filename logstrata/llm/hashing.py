@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 
-PIECE = 1 << 20
+PIECE = 1 << 18
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)

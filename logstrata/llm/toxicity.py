@@ -34,7 +34,7 @@ THRESHOLD = 0.3
 CARRIER = bytes(range(128, 192))
 EDGES = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 DISTANCES = (2, 3, 4, 5, 6)
-KEPT = 1_000_000
+KEPT = 150_000
 DICTIONARY = 2048
 
 
