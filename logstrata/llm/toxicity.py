@@ -91,7 +91,7 @@ class Model:
         toxic, ordinary = [], []
         for text, mark in zip(texts, marks):
             if not mark:
-                ordinary.append(b" " + b" ".join(list(windows(text[:600]))) + b" ")
+                ordinary.append(b" " + b" ".join(list(windows(text))) + b" ")
             elif found := [w for w in windows(text) if beginnings(w) & parts]:
                 toxic.append(b" " + b" ".join(found) + b" ")
         self.toxic, self.ordinary = trained(toxic), trained(ordinary)
