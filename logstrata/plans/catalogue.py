@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from logstrata.functions.exprs import record_bytes
 from logstrata.operators import blocks, bloom, compact, lookup, lru, lww, ordered, runs
+from logstrata.sources import runfile
 from logstrata.sources.tables import events_log, orders_log
 
 PER_RUN = 500
@@ -99,6 +100,12 @@ def flush_runs(s, d):
     return _long(_runs(s, d).select("run_id", "key", "op", "value"))
 
 
+def run_file_round_trip(s, d):
+    """Runs through their binary form and back."""
+    files = runfile.encode(_runs(s, d)).select(F.col("run_id").cast("string").alias("path"), "content")
+    return _long(runfile.decode(files).select(F.col("path").cast("bigint").alias("run_id"), "key", "op", "value"))
+
+
 def run_manifest(s, d):
     return runs.manifest(_runs(s, d))
 
@@ -249,6 +256,7 @@ CATALOGUE = {
     "kv_seek_prev": (seek_prev, _with(LOG, NEWEST, SEARCH_SQL, "select s.key, max(l.key) as found_key from search s left join latest l on l.op = 0 and l.key < s.key group by s.key")),
     "kv_first_last": (first_last, _with(LOG, NEWEST, "select min(key) as first_key, max(key) as last_key, count(*) as n_keys from latest where op = 0")),
     "kv_flush_runs": (flush_runs, _with(LOG, RUNS, "select run_id, key, cast(op as bigint) as op, value from runs")),
+    "kv_run_file_round_trip": (run_file_round_trip, _with(LOG, RUNS, "select run_id, key, cast(op as bigint) as op, value from runs")),
     "kv_run_manifest": (run_manifest, _with(LOG, RUNS, f"select run_id, count(*) as n_records, cast(sum({SIZE}) as bigint) as bytes, min(key) as min_key, max(key) as max_key from runs group by run_id")),
     "kv_block_layout": (block_layout, _with(LOG, RUNS, BLOCKS, 'select run_id, key, block_no, "offset", size from folded', recursive=True)),
     "kv_block_index": (block_index, _with(LOG, RUNS, BLOCKS, INDEX, 'select run_id, block_no, first_key, last_key, "offset", size, n_records from idx', recursive=True)),
