@@ -4,12 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+#: Bytes of one Arrow batch. Spark's own bound (64 MB) is held several times over, by the JVM and by a worker, for each task.
+BATCH_BYTES = 8 << 20
+LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded(spark: SparkSession) -> None:
+    """Lowers the session's bound on the bytes of an Arrow batch to BATCH_BYTES; a lower one stays. A longer row is a batch of its own."""
+    held = spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
+    if held > BATCH_BYTES or held <= 0:
+        spark.conf.set(LIMIT, str(BATCH_BYTES))
+
 
 def with_columns(docs: DataFrame, added: str, make: Callable) -> DataFrame:
     """``docs`` and the columns of the DDL string ``added``, which ``make(batch)`` gives as lists. Columns of those names are replaced."""
+    bounded(docs.sparkSession)
     new = T._parse_datatype_string(added)
     names = {f.name for f in new.fields}
     base = docs.drop(*names)

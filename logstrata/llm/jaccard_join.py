@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logstrata.llm import hashing
+from logstrata.llm.arrow import bounded
 from logstrata.llm.components import components
 from logstrata.plans.durable import written
 
@@ -243,6 +244,7 @@ def links(docs: DataFrame, rows: DataFrame, nodes: DataFrame, n: int, percent: i
 
 def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id."""
+    bounded(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
     rows = written(_grouped(docs, n, _hot(docs, n), percent), "groups")
     nodes = written(rows.filter("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
