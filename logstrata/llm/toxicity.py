@@ -20,6 +20,7 @@ input of the score; a column named like an added one is replaced.
 from __future__ import annotations
 
 from collections import Counter
+from statistics import NormalDist
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -50,8 +51,11 @@ def beginnings(word: bytes):
     return {word[:n] for n in range(5, min(9, len(word)) + 1)}
 
 
-def telling(texts, marks, share: float = 0.1, least: int = 4) -> set[bytes]:
-    """Word beginnings over-represented in marked texts: a likelihood ratio of ``share`` of the greatest or more."""
+def telling(texts, marks, level: float = 0.01, least: int = 4) -> set[bytes]:
+    """Word beginnings over-represented in marked texts at a significance of ``level``, shared among all that are tried.
+
+    The bound on the likelihood ratio doesn't depend on the other beginnings, so strong ones of a large language don't hide a small one's.
+    """
     counts = (Counter(), Counter())
     for text, mark in zip(texts, marks):
         found = set()
@@ -67,8 +71,8 @@ def telling(texts, marks, share: float = 0.1, least: int = 4) -> set[bytes]:
         if a >= least and a * n0 > b * n1:
             p = (a + b) / (n0 + n1)
             ratio[part] = 2 * (entropy(a, n1, p) + entropy(b, n0, p)) if p < 1 else 0
-    top = max(ratio.values(), default=0)
-    return {part for part, x in ratio.items() if x >= share * top}
+    bound = NormalDist().inv_cdf(1 - level / 2 / max(1, sum(a >= least for a in counts[1].values()))) ** 2
+    return {part for part, x in ratio.items() if x >= bound}
 
 
 def trained(samples: list[bytes], size: int = DICTIONARY) -> bytes:
@@ -94,7 +98,8 @@ class Model:
                 ordinary.append(b" " + b" ".join(list(windows(text))) + b" ")
             elif found := [w for w in windows(text) if beginnings(w) & parts]:
                 toxic.append(b" " + b" ".join(found) + b" ")
-        self.toxic, self.ordinary = trained(toxic), trained(ordinary)
+        room = sum(len(w) + 1 for w in {w for text in toxic for w in text.split()})  # each word once
+        self.toxic, self.ordinary = trained(toxic, max(DICTIONARY, room)), trained(ordinary)
         distance = self.distances()
         self.calibrated = Logistic([self.features(t, distance) for t in texts], marks)
 

@@ -185,6 +185,16 @@ def test_toxicity(spark, docs, empty):
     assert [r.score for r in toxicity.score(docs, toxicity.fit(table, labels.limit(0))).collect()] == [0.0] * len(ROWS)
 
 
+def test_toxic_words_of_a_small_language():
+    large = [(f"the plain text number {i} says little of note today", 0) for i in range(900)] + [(f"you are a worthless idiot number {i} and a clown", 1) for i in range(300)]
+    small = [(f"una frase {i} sin nada" + " bomentera" * (i < 12), 0) for i in range(200)] + [(f"una frase {i} bomentera y bomentoso", 1) for i in range(20)]
+    texts, marks = [t.encode() for t, _ in large + small], [m for _, m in large + small]
+    found = toxicity.telling(texts, marks)
+    assert b" bomen" in found and b" idiot" in found and b" frase" not in found
+    toxic, plain = toxicity.Model(texts, marks).score([b"una frase 99 bomentera y bomentoso", b"una frase 99 sin nada"])
+    assert toxic >= toxicity.THRESHOLD > plain
+
+
 def test_quality_classifier(docs, empty):
     assert quality_classifier.classify(docs).count() == len(ROWS)
     assert quality_classifier.classify(empty).count() == 0
