@@ -186,6 +186,10 @@ def lru_hits(s, d):
     return lru.hits(_trace(s, d), CAPACITY)
 
 
+def lru_hits_whole_log(s, d):
+    return lru.hits(events_log(s, d).select("seq", "key"), CAPACITY)
+
+
 def lru_contents(s, d):
     return lru.contents(events_log(s, d).select("seq", "key"), CAPACITY)
 
@@ -277,6 +281,8 @@ CATALOGUE = {
       count(*) filter (not may_exist and l.key is not null) as false_negatives from may left join (select key from latest where op = 0) l on may.key = l.key""")),
     "kv_lru_hits": (lru_hits, f"""with t as (select event_id as seq, cast(user_id as varchar) as key, lag(event_id) over (partition by user_id order by event_id) as prev from events where event_id < {TRACE})
       select seq, key, prev is not null and (select count(distinct u.key) from t u where u.seq > t.prev and u.seq < t.seq) < {CAPACITY} as hit from t"""),
+    "kv_lru_hits_whole_log": (lru_hits_whole_log, f"""with t as (select event_id as seq, cast(user_id as varchar) as key, lag(event_id) over (partition by user_id order by event_id) as prev from events)
+      select seq, key, prev is not null and (select count(distinct u.key) from t u where u.seq > t.prev and u.seq < t.seq) < {CAPACITY} as hit from t"""),
     "kv_lru_contents": (lru_contents, f"select cast(user_id as varchar) as key, max(event_id) as last_seq from events group by user_id order by last_seq desc limit {CAPACITY}"),
     "kv_wal_replay": (wal_replay, _with(LOG, NEWEST, _SNAP)),
     "kv_gc_candidates": (gc_candidates, f"select distinct '0:' || cast(cast(floor(event_id / {PER_RUN}) as bigint) as varchar) as tag from events where floor(event_id / {PER_RUN}) < 8 and cast(floor(event_id / {PER_RUN}) as bigint) % 3 <> 0"),
