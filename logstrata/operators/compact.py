@@ -22,9 +22,14 @@ def merge_two(older: DataFrame, newer: DataFrame) -> DataFrame:
     return o.join(n, "key", "full_outer").select("key", picked["op"].alias("op"), picked["value"].alias("value"), source.alias("source"))
 
 
-def merge(runs: DataFrame) -> DataFrame:
-    """Any number of runs in one pass: a union and one aggregate instead of a tree of pairwise merges."""
-    return latest(runs)
+def merge(runs: DataFrame, *group: str) -> DataFrame:
+    """Any number of runs in one pass: a union and one aggregate instead of a tree of pairwise merges. Runs of one ``group`` merge with each other only."""
+    return latest(runs, *group)
+
+
+def grouped(runs: DataFrame) -> DataFrame:
+    """Adds group_id: FAN_IN consecutive runs are one merge; the last group may have fewer."""
+    return runs.withColumn("group_id", F.floor(F.col("run_id") / FAN_IN).cast("bigint"))
 
 
 def stats(runs: DataFrame, merged: DataFrame) -> DataFrame:
@@ -34,6 +39,14 @@ def stats(runs: DataFrame, merged: DataFrame) -> DataFrame:
         "input_records", "output_records", (F.col("input_records") - F.col("output_records")).alias("overwritten"), "tombstones")
 
 
+def group_stats(runs: DataFrame) -> DataFrame:
+    """stats() of every merge of grouped()."""
+    keys = grouped(runs).groupBy("group_id", "key").agg(F.count("*").alias("n"), F.max_by("op", "seq").alias("op"))
+    return keys.groupBy("group_id").agg(
+        F.sum("n").alias("input_records"), F.count("*").alias("output_records"), (F.sum("n") - F.count("*")).alias("overwritten"),
+        F.count_if(F.col("op") == 1).alias("tombstones"))
+
+
 @dataclass
 class Levels:
     """File counts by level under the tiered policy. Planning only: it never touches data."""

@@ -127,6 +127,11 @@ def block_lookup(s, d):
     return blocks.block_lookup(_placed(s, d).filter("run_id < 2"), probes)
 
 
+def block_lookup_every_run(s, d):
+    asked = _probes(s, d).unionByName(_search(s)).distinct()
+    return blocks.block_lookup(_placed(s, d), runs.manifest(_runs(s, d)).select("run_id").crossJoin(F.broadcast(asked)))
+
+
 def merge_two_runs(s, d):
     all_runs = _runs(s, d)
     return _long(compact.merge_two(all_runs.filter("run_id = 0"), all_runs.filter("run_id = 1")))
@@ -144,6 +149,14 @@ def compaction_stats(s, d):
     return compact.stats(_eight(s, d), compact.merge(_eight(s, d)))
 
 
+def compact_groups(s, d):
+    return _long(compact.merge(compact.grouped(_runs(s, d)), "group_id").select("group_id", "key", "op", "value", "seq"))
+
+
+def compaction_group_stats(s, d):
+    return compact.group_stats(_runs(s, d))
+
+
 def level_state(s, d):
     """The number of flushes is a count; the planner's loop runs over levels, not data."""
     n = s.read.parquet(f"{d}/orders.parquet").count() // PER_FLUSH
@@ -248,6 +261,7 @@ files as (select run_id, block_no, 0::bigint as file_no, 24 + cost as held, size
   union all select b.run_id, b.block_no, case when f.held >= {GROUP_FILE} then f.file_no + 1 else f.file_no end,
   case when f.held >= {GROUP_FILE} then 24 + b.cost else f.held + b.cost end, b.size, b.n from files f join blocks b on b.run_id = f.run_id and b.block_no = f.block_no + 1)"""
 
+_ASKED = "asked as (select distinct key from (select key from probes union all select key from search)), pr as (select key, run_id from asked, (select distinct run_id from runs))"
 _ALL_PROBES = f"asked as (select distinct key from (select key from probes union all select key from search)), pr as (select key, r as run_id from asked, range(0, 2) t(r))"
 
 CATALOGUE = {
@@ -266,12 +280,19 @@ CATALOGUE = {
     "kv_block_index": (block_index, _with(LOG, RUNS, BLOCKS, INDEX, 'select run_id, block_no, first_key, last_key, "offset", size, n_records from idx', recursive=True)),
     "kv_block_lookup": (block_lookup, _with(LOG, RUNS, BLOCKS, INDEX, PROBES, SEARCH_SQL, _ALL_PROBES,
         f"select p.run_id, p.key, (select min(block_no) from idx where idx.run_id = p.run_id and idx.last_key >= p.key) as block_no, {STATUS} as status, f.value from pr p left join folded f on f.run_id = p.run_id and f.key = p.key", recursive=True)),
+    "kv_block_lookup_every_run": (block_lookup_every_run, _with(LOG, RUNS, BLOCKS, INDEX, PROBES, SEARCH_SQL, _ASKED,
+        f"select p.run_id, p.key, (select min(block_no) from idx where idx.run_id = p.run_id and idx.last_key >= p.key) as block_no, {STATUS} as status, f.value from pr p left join folded f on f.run_id = p.run_id and f.key = p.key", recursive=True)),
     "kv_merge_two_runs": (merge_two_runs, _with(LOG, RUNS, """select coalesce(n.key, o.key) as key, cast(case when n.key is not null then n.op else o.op end as bigint) as op,
       case when n.key is not null then n.value else o.value end as value, case when n.key is null then 'older' when o.key is null then 'newer' else 'both' end as source
       from (select * from runs where run_id = 0) o full outer join (select * from runs where run_id = 1) n on o.key = n.key""")),
     "kv_compact_eight": (compact_eight, _with(LOG, RUNS, "select key, cast(op as bigint) as op, value, seq from (select *, row_number() over (partition by key order by seq desc) as rn from runs where run_id < 8) where rn = 1")),
     "kv_compaction_stats": (compaction_stats, _with(LOG, RUNS, "m as (select key, arg_max(op, seq) as op, count(*) as n from runs where run_id < 8 group by key)",
         "select cast(sum(n) as bigint) as input_records, count(*) as output_records, cast(sum(n) - count(*) as bigint) as overwritten, count(*) filter (op = 1) as tombstones from m")),
+    "kv_compact_groups": (compact_groups, _with(LOG, RUNS, f"""select group_id, key, cast(op as bigint) as op, value, seq from (select *, row_number() over (partition by group_id, key order by seq desc) as rn
+      from (select *, cast(floor(run_id / {compact.FAN_IN}) as bigint) as group_id from (select run_id, key, op, value, seq from runs))) where rn = 1""")),
+    "kv_compaction_group_stats": (compaction_group_stats, _with(LOG, RUNS,
+        f"m as (select cast(floor(run_id / {compact.FAN_IN}) as bigint) as group_id, key, arg_max(op, seq) as op, count(*) as n from runs group by all)",
+        "select group_id, cast(sum(n) as bigint) as input_records, count(*) as output_records, cast(sum(n) - count(*) as bigint) as overwritten, count(*) filter (op = 1) as tombstones from m group by group_id")),
     "kv_level_state": (level_state, _level_sql()),
     "kv_output_file_split": (output_file_split, _with(_ORDER_BLOCKS, "select run_id, file_no, count(*) as n_blocks, cast(sum(n) as bigint) as n_records, cast(sum(size) as bigint) as bytes from files group by run_id, file_no", recursive=True)),
     "kv_read_tier": (read_tier, _with(LOG, RUNS, PROBES, "t as (select key, max(run_id) as run_id, arg_max(op, run_id) as op from runs group by key)", f"select p.key, t.run_id, {STATUS} as status from probes p left join t on p.key = t.key")),

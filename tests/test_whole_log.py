@@ -19,3 +19,25 @@ def test_lru_replays_every_access(spark):
             cache.popitem(last=False)
     got = [tuple(r) for r in CATALOGUE["kv_lru_hits_whole_log"][0](spark, D).orderBy("seq").collect()]
     assert got == want and len(got) > catalogue.TRACE
+
+
+def test_every_run_is_probed_and_every_group_compacted(spark):
+    log = events_log(spark, D).orderBy("seq").collect()
+    runs, groups = {}, {}
+    for r in log:
+        runs.setdefault(r.seq // catalogue.PER_RUN, {})[r.key] = r
+    for i, held in runs.items():
+        groups.setdefault(i // 8, []).append(held)
+    status = {None: "NOT_FOUND", 0: "FOUND", 1: "DELETED"}
+    found = CATALOGUE["kv_block_lookup_every_run"][0](spark, D).collect()
+    assert {r.run_id for r in found} == set(runs) and len(found) == len(runs) * len({r.key for r in found})
+    for r in found:
+        mine = runs[r.run_id].get(r.key)
+        assert (r.status, r.value) == (status[mine and mine.op], mine and mine.value)
+    merged = {g: {k: r for held in members for k, r in held.items()} for g, members in groups.items()}
+    rows = [tuple(r) for r in CATALOGUE["kv_compact_groups"][0](spark, D).collect()]
+    assert sorted(rows) == sorted((g, k, r.op, r.value, r.seq) for g, keys in merged.items() for k, r in keys.items())
+    stats = {r.group_id: tuple(r)[1:] for r in CATALOGUE["kv_compaction_group_stats"][0](spark, D).collect()}
+    for g, members in groups.items():
+        read, made = sum(map(len, members)), len(merged[g])
+        assert stats[g] == (read, made, read - made, sum(r.op for r in merged[g].values()))
