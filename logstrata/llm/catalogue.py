@@ -98,6 +98,11 @@ def op10_decontaminate(spark, sf_dir):
     return decontaminate.report(decontaminate.Matches(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark"), window=10))
 
 
+def op10_proximity(spark, sf_dir):
+    """op10_decontaminate with proximity matches: four fifths of an item's words within two places of one alignment."""
+    return decontaminate.report(decontaminate.Matches(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark"), window=10, slop=2))
+
+
 OP10_SQL = r"""with d as (select row_number() over () as rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
 b as (select cast(item_id as varchar) as item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
 iw as (select distinct item, len, list_slice(w, i, i + len - 1) as win from (select item, w, least(10, len(w)) as len, unnest(range(1, len(w) - least(10, len(w)) + 2)) as i from b where len(w) > 0)),
@@ -120,6 +125,7 @@ _QUERIES = {
     "op5_jaccard_join": (op5_jaccard_join, OP5_SQL),
     "op9_quality_rules": (op9_quality_rules, OP9_SQL),
     "op10_decontaminate": (op10_decontaminate, OP10_SQL),
+    "op10_proximity": (op10_proximity, None),
 }
 
 

@@ -9,7 +9,8 @@
 3. Intersection: the anchors' postings, less their offsets in the item, meet in
    the alignments (row, item, diagonal) to try. The lists of all the item's
    terms, adjusted by their offsets, are intersected along those diagonals only.
-   Where proximity is asked for, one anchor is enough for an alignment.
+   Where proximity is asked for, an item's rarest places are anchors too, two
+   more than the words that may be missing; a band that holds two is tried.
 4. Runs of consecutive matches as long as a window are exact phrases. Along a
    band of ``slop`` diagonals, items of which a share of the words matched
    without an exact phrase are proximity matches.
@@ -62,6 +63,17 @@ def build_index(docs: DataFrame, vocabulary: DataFrame, n_vocabulary: int, id_co
     return written(held.select("rid", F.when(F.col("term") == SENTINEL, F.col("doc_id")).alias("doc_id"), "term", "pos"), "postings")
 
 
+def near_anchors(items: DataFrame, counts: DataFrame, share: float) -> DataFrame:
+    """An item's rarest places, two more than a proximity match may miss, so each match holds ``need`` of them: (item, ipos, term, need).
+
+    A term that no text has is a place missed.
+    """
+    rarest = Window.partitionBy("item").orderBy("count", "term", "ipos")
+    ranked = items.join(counts, "term", "left").withColumn("count", F.coalesce("count", F.lit(0))).withColumn("rank", F.row_number().over(rarest))
+    held = F.ceil(F.lit(share) * F.col("n"))
+    return ranked.filter(F.col("rank") <= F.col("n") - held + 2).select("item", "ipos", "term", F.least(held, F.lit(2)).alias("need"))
+
+
 def anchors(items: DataFrame, counts: DataFrame, window: int, depth: int) -> DataFrame:
     """The ``depth`` rarest places of every window, one row a place: (item, places, ipos, term). Windows with a term that no text has are dropped."""
     length = F.least("n", F.lit(window))
@@ -78,20 +90,25 @@ class Matches:
     """The stages' tables: ``postings`` (the index), ``phrases`` and, through near(), proximity matches."""
 
     def __init__(self, docs: DataFrame, benchmark: DataFrame, window: int = 10, slop: int = 0, doc_id: str = "doc_id", doc_text: str = "text",
-                 item_id: str = "item_id", item_text: str = "text"):
-        self.window, self.slop = window, slop
+                 item_id: str = "item_id", item_text: str = "text", share: float = 0.8):
+        self.window, self.slop, self.share = window, slop, share
         self.items = written(item_words(benchmark, item_id, item_text), "items")
         vocabulary = self.items.select("term").distinct()
         n_vocabulary = vocabulary.count()
         self.postings = written_index = build_index(docs, vocabulary, n_vocabulary, doc_id, doc_text)
         tokens = written_index.filter(F.col("term") != SENTINEL).select("rid", "term", "pos")
         counts = tokens.groupBy("term").agg(F.count("*").alias("count"))
-        places = written(anchors(self.items, counts, window, depth=1 if slop else 2), "anchors")
+        places = written(anchors(self.items, counts, window, depth=2), "anchors")
         lists = tokens.join(_small(places, places.count(), BROADCAST_TERMS), "term").select("rid", "item", "places", (F.col("pos") - F.col("ipos")).alias("diagonal"))
         met = lists.groupBy("rid", "item", "places", "diagonal").agg(F.count("*").alias("n"))  # a place of a row is one posting
         tried = met.filter(F.col("n") == F.size("places")).select("rid", "item", "diagonal")
         if slop:
-            tried = tried.withColumn("diagonal", F.explode(F.sequence(F.col("diagonal") - slop, F.col("diagonal") + slop)))
+            spots = written(near_anchors(self.items, counts, share), "near-anchors")
+            hits = tokens.join(_small(spots, spots.count(), BROADCAST_TERMS), "term").withColumn("diagonal", F.col("pos") - F.col("ipos"))
+            bands = hits.withColumn("band", F.explode(F.sequence(F.col("diagonal") - slop, F.col("diagonal")))).groupBy("rid", "item", "need", "band").agg(
+                F.min("ipos").alias("first"), F.max("ipos").alias("last"))
+            bands = bands.filter("need < 2 or first < last")
+            tried = tried.unionByName(bands.select("rid", "item", F.explode(F.sequence(F.col("band"), F.col("band") + slop)).alias("diagonal")))
         tried = written(tried.distinct(), "alignments")
         rows = tried.select("rid").distinct()
         near = tokens.join(_small(rows, rows.count(), BROADCAST_ROWS), "rid", "left_semi")
@@ -107,8 +124,14 @@ class Matches:
         return lines.select("rid", "item", "diagonal", length.alias("length"), F.explode(full).alias("ipos")).select(
             "rid", "item", (F.col("ipos") + F.col("diagonal")).alias("start"), "length")
 
-    def near(self, share: float = 0.8) -> DataFrame:
-        """Proximity matches (rid, item, words): ``share`` of an item's words in order within ``slop`` of one alignment, no exact phrase."""
+    def near(self, share: float | None = None) -> DataFrame:
+        """Proximity matches (rid, item, words): ``share`` of an item's words in place within a band of ``slop`` alignments, no exact phrase.
+
+        The share is that of the tables, or a greater one.
+        """
+        share = self.share if share is None else share
+        if share < self.share:
+            raise ValueError(f"alignments were made for a share of {self.share}")
         bands = self.matched.withColumn("band", F.explode(F.sequence(F.col("diagonal") - self.slop, F.col("diagonal"))))
         held = bands.groupBy("rid", "item", "n", "band").agg(F.count_distinct("ipos").alias("words"))
         found = held.filter(F.col("words") >= share * F.col("n")).groupBy("rid", "item").agg(F.max("words").alias("words"))
@@ -120,7 +143,7 @@ class Matches:
 
 
 def report(matches: Matches) -> DataFrame:
-    """One row a document: n_words, n_hit, n_items, items_sha256, contaminated."""
+    """One row a document: n_words, n_hit, n_items, items_sha256, contaminated (of exact phrases); with slop n_near, near_sha256 (of proximity matches)."""
     phrases = written(matches.phrases(), "phrases")
     hit = phrases.select("rid", F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("pos")).distinct().groupBy("rid").agg(F.count("*").alias("n_hit"))
     names = matches.items.select("item", F.col("item_id").cast("string").alias("name")).distinct()
@@ -128,6 +151,12 @@ def report(matches: Matches) -> DataFrame:
     by_row = phrases.select("rid", "item").distinct().join(names, "item").select("rid", "name").distinct().groupBy("rid").agg(
         F.count("*").alias("n_items"), F.array_join(F.sort_array(F.collect_list("name")), ",").alias("ids"))
     found = hit.join(by_row, "rid")
+    near = []
+    if matches.slop:
+        by_near = matches.near().select("rid", "item").join(names, "item").select("rid", "name").distinct().groupBy("rid").agg(
+            F.count("*").alias("n_near"), F.array_join(F.sort_array(F.collect_list("name")), ",").alias("near_ids"))
+        found = found.join(by_near, "rid", "full_outer")
+        near = [F.coalesce("n_near", F.lit(0)).cast("bigint").alias("n_near"), F.sha2(F.coalesce("near_ids", F.lit("")), 256).alias("near_sha256")]
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
     return matches.rows().join(found, "rid", "left").select(
-        "doc_id", "n_words", zero("n_hit"), zero("n_items"), F.sha2(F.coalesce("ids", F.lit("")), 256).alias("items_sha256"), (zero("n_hit") > 0).alias("contaminated"))
+        "doc_id", "n_words", zero("n_hit"), zero("n_items"), F.sha2(F.coalesce("ids", F.lit("")), 256).alias("items_sha256"), (zero("n_hit") > 0).alias("contaminated"), *near)

@@ -145,6 +145,33 @@ def test_proximity(spark):
     assert m.phrases().count() == 0 and [r.words for r in m.near().collect()] == [10]
 
 
+def test_proximity_by_brute_force(spark):
+    item = [f"w{i}" for i in range(10)]
+    texts = [item[:4] + ["zz"] + item[5:], item[:9] + ["zz"], ["zz"] + item[1:8] + ["yy", "w9"], item[:5] + ["zz"] + item[5:], item, item[:6] + ["zz", "yy", "xx"] + item[9:],
+             ["w0", "w1"] * 8, item[5:] + item[:5], ["aa"] * 20 + item[:3] + ["zz"] + item[4:] + ["aa"], ["solo", "twin"], ["solo", "more", "twin"]]
+    items = [item, item + ["never"], ["solo", "twin"], item[:3] + ["never", "w4"], [f"w{i % 10}" for i in range(25)]]
+    slop, share = 1, 0.8
+    want = set()
+    for d, text in enumerate(texts):
+        for b, it in enumerate(items):
+            size = min(10, len(it))
+            if any(text[k : k + size] == it[j : j + size] for j in range(len(it) - size + 1) for k in range(len(text) - size + 1)):
+                continue
+            band = lambda e: sum(any(0 <= i + e + s < len(text) and text[i + e + s] == w for s in range(slop + 1)) for i, w in enumerate(it))
+            words = max(band(e) for e in range(-len(it) - slop, len(text) + 1))
+            if words >= share * len(it):
+                want.add((d, b, words))
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id bigint, text string")
+    m = decontaminate.Matches(docs, bench, slop=slop, share=share)
+    rows, names = m.rows().select("rid", "doc_id"), m.items.select("item", "item_id").distinct()
+    got = {(r.doc_id, r.item_id, r.words) for r in m.near().join(rows, "rid").join(names, "item").collect()}
+    assert got == want and {(0, 0, 9), (1, 0, 9)} <= got
+    counted = {r.doc_id: (r.n_items, r.n_near) for r in decontaminate.report(m).collect()}
+    exact = {r.doc_id: r.n_items for r in decontaminate.report(decontaminate.Matches(docs, bench)).collect()}
+    assert counted == {d: (exact[d], sum(x == d for x, _, _ in want)) for d in range(len(texts))}
+
+
 def test_lm_scoring(docs, empty):
     got = sorted((r.doc_id, r.n_words, round(r.log_score, 6)) for r in lm_scoring.score(docs.filter("doc_id is not null")).collect())
     texts = [(d, words(t)) for d, t, _ in ROWS if d is not None]
