@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from logstrata.llm import catalogue, decontaminate, jaccard_join, mixing, sharding, toxicity
+from logstrata.llm.text import SPACE
 from logstrata.plans.durable import written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -17,31 +18,38 @@ def drop_toxic(spark, docs, sf_dir):
     return toxicity.score(docs, model).filter(F.col("score") < toxicity.THRESHOLD).select(*COLUMNS)
 
 
-def _without(docs, ids):
-    """``docs`` less the rows of these ids (column _gone); they are broadcast where their count allows it."""
-    ids = written(ids.filter("_gone is not null").distinct(), "gone")
-    return docs.join(decontaminate._small(ids, ids.count(), decontaminate.BROADCAST_ROWS), F.col("doc_id") == F.col("_gone"), "left_anti")
+def _keyed(docs):
+    """``docs`` with a key of each row's own (_key), written: ids may be null or repeat."""
+    return written(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_key")), "keyed")
+
+
+def _without(keyed, keys):
+    """The rows less those of these keys (column _gone); the keys are broadcast where their count allows it."""
+    keys = written(keys, "gone")
+    return keyed.join(decontaminate._small(keys, keys.count(), decontaminate.BROADCAST_ROWS), F.col("_key") == F.col("_gone"), "left_anti").select(*COLUMNS)
 
 
 def drop_copies(spark, docs, sf_dir):
-    """One document of each group of near copies (five words, 0.8) stays: the one whose id is the group's.
+    """One row of each group of near copies (five words, 0.8) stays: that of the least id, of several the first; one without an id only where no row has any.
 
-    Of rows that repeat an id and a text one stays. Rows without an id can't be named, and stay.
+    Texts without words are copies only where the id and the text are the same.
     """
-    groups = written(jaccard_join.join(docs, n=5, percent=80), "groups")
-    kept = _without(docs, groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")))
-    twice = groups.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select(F.col("doc_id").alias("_gone"))
-    if twice.isEmpty():
-        return kept.select(*COLUMNS)
-    twice = written(twice, "twice")
-    again = kept.join(twice, F.col("doc_id") == F.col("_gone"), "left_semi").dropDuplicates(["doc_id", "text"])
-    return _without(kept, twice).select(*COLUMNS).unionByName(again.select(*COLUMNS))
+    keyed = _keyed(docs)
+    groups = written(jaccard_join.join(keyed.select(F.col("_key").alias("doc_id"), "text"), n=5, percent=80), "groups")
+    blank = F.col("doc_id").isNotNull() & F.coalesce("text", F.lit("")).rlike(f"^{SPACE}*$")
+    rows = keyed.select("_key", "doc_id", blank.alias("blank"), F.when(blank, F.col("text")).alias("blank_text")).join(
+        groups.select(F.col("doc_id").alias("_key"), "component_id"), "_key")
+    group = [F.when(~F.col("blank"), F.col("component_id")), F.when(F.col("blank"), F.col("doc_id")), "blank_text"]
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key"))["_key"]
+    kept = rows.groupBy(*group).agg(first.alias("_key")).select("_key")
+    return _without(keyed, rows.join(kept, "_key", "left_anti").select(F.col("_key").alias("_gone")))
 
 
 def drop_leaks(spark, docs, sf_dir):
-    """Documents with any occurrence of a benchmark window go."""
-    found = decontaminate.report(decontaminate.Matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10))
-    return _without(docs, found.filter("contaminated").select(F.col("doc_id").alias("_gone"))).select(*COLUMNS)
+    """Rows with any occurrence of a benchmark window go."""
+    keyed = _keyed(docs)
+    found = decontaminate.report(decontaminate.Matches(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10, doc_id="_key"))
+    return _without(keyed, found.filter("contaminated").select(F.col("doc_id").alias("_gone")))
 
 
 def mix_sources(spark, docs, sf_dir):
