@@ -4,24 +4,63 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: While a table is written: the files of its shuffles go when it is there. A lost executor's later reads find the table.
+CLEANED = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a local one only where it is unset, as in tests."""
+    """The folder that the cluster names in spark.checkpoint.dir; a local one only where it is unset and everything runs in one process, as in tests."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="logstrata-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
 
 
-def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: column pruning still works on it, and lost executors lose nothing."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+@contextmanager
+def settings(spark: SparkSession, held: dict[str, str]) -> Iterator[None]:
+    """Session settings for the time of a block; what was there before comes back."""
+    before = {k: spark.conf.get(k, None) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+def written(df: DataFrame, name: str = "table", **held: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: column pruning still works on it, and lost executors lose nothing.
+
+    ``held`` are session settings for the time of the write, their dots as double underscores.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    with settings(spark, CLEANED | {k.replace("__", "."): v for k, v in held.items()}):
+        df.write.parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_at = path
+    return table
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables that written() has made. Nothing that is still to run may read them."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.written_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 materialize = written
