@@ -1,27 +1,29 @@
 """N-gram Jaccard join: a grouped prefix join over whole texts.
 
-1. Texts with equal shingle sets are one node. Sets are 64-bit hashes of word
-   n-grams, recomputed from the texts in each pass instead of stored.
-2. Global order of shingles: those of the lowest quarter of hash values that more
-   than ``HOT`` texts hold come last, the others by hash. Any fixed order is
-   exact; this one keeps passages that many texts share out of prefixes. The
-   hot ones are broadcast, the ``MAX_HOT`` most frequent at most; with a
-   shorter list only the work grows.
+1. Every distinct shingle's number of texts is counted, exactly but for rare
+   hash collisions (``slices``). The global order of shingles is by that number,
+   rarest first, then by hash.
+2. Shingles of one text only can't be shared: they fill places of a prefix, but
+   go no further. A text whose prefix has no others links with nothing. What is
+   left of the other texts (*nodes*: texts with equal sets are one) is a table
+   of their shared shingles, a small part of the corpus.
 3. Nodes with identical prefixes and size are one group; prefix lists hold groups.
-4. First, neighbours by size in each list, and inside each group, are verified:
-   linear in the lists, and enough to make large families of copies one
-   component. Then every pair of a list that lies in two components, and fits by
-   size and position, is expanded to its members and verified. Pairs within one
-   component can't change the result and are never made.
+4. First, each group's likeliest neighbours by size and likeliest hub, and the
+   members of a group with its head, are verified: linear in the lists, and
+   enough to make large families of copies one component. Then every pair of a
+   list that lies in two components, and fits by size, position and bitmaps of
+   the members' shingles, is expanded to its members and verified. Pairs within
+   one component can't change the result and are never made.
 
 A link between different texts is therefore never lost, and no list is paired
 with itself as a whole: what a list emits is its entries times those outside of
-its largest component.
+its largest component, and few of these pass the bitmaps.
 
 Null and empty texts have no shingles and link with nothing, so they are their
 own component. Repeated rows link as equal sets do; a component's id is its
-least doc_id, null only where all its ids are null. An empty table gives an
-empty result. Only the id and the text are read.
+least doc_id, null only where all its ids are null. Very long texts are hashed
+in pieces. An empty table gives an empty result. Only the id and the text are
+read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -30,149 +32,95 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logstrata.llm import hashing
-from logstrata.llm.arrow import bounded
+from logstrata.llm import hashing, slices
 from logstrata.llm.components import components
-from logstrata.plans.durable import written
+from logstrata.plans.durable import dropped, written
 
-LOW = 1 << 62  # hashes below it, read as unsigned, are counted: a quarter of all
-HOT = 50
-MAX_HOT = 1_000_000
-BROADCAST_NODES = 2_000_000
-LONGS = 8  # of a bitmap
+LONGS = 16  # of a bitmap
+LIST = 512  # entries of a prefix list among which neighbours are sought together
+FAN = 256  # partners of a node that are verified in one task
 
 
-def _distinct(batch, n):
-    """(fingerprint, set) of the texts of a batch, once each."""
-    seen = set()
-    for _, s in hashing.shingle_sets(hashing.texts_of(batch.column("_text")), n):
-        if len(s) and (fp := hashing.fingerprint(s)) not in seen:
-            seen.add(fp)
-            yield fp, s
+def prefix_length(n: int, percent: int) -> int:
+    return n - (percent * n + 99) // 100 + 1
 
 
-def _hot(docs: DataFrame, n: int):
-    """The hot shingles, sorted."""
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            held, size = [], 0
-            def counted():
-                tokens, counts = np.unique(np.concatenate(held), return_counts=True)
-                return pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(counts.astype(np.int32))], ["token", "count"])
-            for _, s in _distinct(batch, n):
-                held.append(s[: np.searchsorted(s, np.uint64(LOW))])
-                size += len(held[-1])
-                if size > 500_000:
-                    yield counted()
-                    held, size = [], 0
-            if held:
-                yield counted()
-
-    counts = docs.select("_text").mapInArrow(run, "token bigint, count int").groupBy("token").agg(F.sum("count").alias("count"))
-    rows = counts.filter(F.col("count") > HOT).orderBy(F.desc("count"), "token").limit(MAX_HOT).select("token").toArrow()
-    return np.sort(rows.column("token").to_numpy().view(np.uint64))
-
-
-def prefix(s, hot, percent: int):
-    """The first |s| - need + 1 shingles of a set in the global order; two sets that reach ``percent`` share one of them at least."""
-    length = len(s) - (percent * len(s) + 99) // 100 + 1
-    if not len(hot):
-        return s[:length]
-    low = s[: np.searchsorted(s, np.uint64(LOW))]
-    at = np.minimum(np.searchsorted(hot, low), len(hot) - 1)
-    is_hot = hot[at] == low
-    if not is_hot[:length].any():
-        return s[:length]
-    cold = np.concatenate((low[~is_hot], s[len(low) :]))
-    return np.concatenate((cold[:length], low[is_hot][: max(0, length - len(cold))]))
-
-
-def bitmap(s) -> list[int]:
+def bitmap(s):
     """Which of 64 * LONGS buckets of hashes a set has. Two sets differ in one member at least for each bucket that only one of them has."""
     bits = np.zeros(64 * LONGS, np.uint8)
     bits[(s % np.uint64(64 * LONGS)).astype(np.int64)] = 1
-    return np.packbits(bits).view(np.int64).tolist()
+    return np.packbits(bits).view(np.int64)
 
 
-def _grouped(docs: DataFrame, n: int, hot, percent: int) -> DataFrame:
-    """(doc_id, fp, n, g, prefix, bits) of every row; g names a prefix with its size. A set that repeats in a batch has its prefix once; an empty one has no fp."""
-    shared = docs.sparkSession.sparkContext.broadcast(hot)
-
-    def run(batches):
+def _placed(cut: DataFrame, answers: DataFrame, plan: slices.Plan, n: int, percent: int) -> DataFrame:
+    """(doc_id, fp, n, g, prefix, shared, bits) of every row; g names a prefix with its size. Null after n where nothing can link, or where the slice has the set already."""
+    def make(ids, texts, counts):
         import pyarrow as pa
 
-        for batch in batches:
-            prints, sizes, groups, prefixes, maps, seen = [], [], [], [], [], {}
-            for _, s in hashing.shingle_sets(hashing.texts_of(batch.column("_text")), n):
-                fp, p, bits = hashing.fingerprint(s) if len(s) else None, None, None
-                if len(s) and fp not in seen:
-                    p = prefix(s, shared.value, percent)
+        sets = [s for _, s in hashing.shingle_sets(texts, n)]
+        asked = np.unique(plan.keys(np.concatenate(_distinct(sets)))) if any(map(len, sets)) else np.zeros(0, np.uint64)
+        told = counts.get(1, np.zeros(0, np.int64))
+        if len(asked) != len(told):
+            raise ValueError("a slice's answers don't fit its questions")
+        prints, groups, prefixes, kept, maps, seen = [], [], [], [], [], set()
+        for s in sets:
+            fp = hashing.fingerprint(s) if len(s) else None
+            g = p = own = bits = None
+            if len(s) and fp not in seen:
+                seen.add(fp)
+                df = told[np.searchsorted(asked, plan.keys(s))]
+                shared = df > 1
+                room = prefix_length(len(s), percent) - int((~shared).sum())
+                if room > 0 and shared.any():
+                    own = s[shared]
+                    p = own[np.lexsort((own, df[shared]))[:room]]
+                    g = int(np.frombuffer(hashing.fingerprint(np.append(p, np.uint64(len(s)))), np.int64)[0])
                     bits = bitmap(s)
-                    seen[fp] = int(np.frombuffer(hashing.fingerprint(np.append(p, np.uint64(len(s)))), np.int64)[0])
-                prints.append(fp)
-                sizes.append(len(s))
-                groups.append(seen.get(fp))
-                prefixes.append(p)
-                maps.append(bits)
-            kept = [p for p in prefixes if p is not None]
-            ends = np.cumsum([0] + [len(p) if p is not None else 0 for p in prefixes])
-            offsets = pa.array(ends.astype(np.int32), mask=np.array([p is None for p in prefixes] + [False]))
-            lists = pa.ListArray.from_arrays(offsets, np.concatenate(kept).view(np.int64) if kept else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints, pa.binary()), pa.array(sizes, pa.int64()), pa.array(groups, pa.int64()), lists, pa.array(maps, pa.list_(pa.int64()))], ["doc_id", "fp", "n", "g", "prefix", "bits"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, fp binary, n bigint, g bigint, prefix array<bigint>, bits array<bigint>")
-
-
-def verified(docs: DataFrame, nodes: DataFrame, n: int, percent: int, pairs: DataFrame) -> DataFrame:
-    """The pairs (u, v) of fingerprints whose sets reach ``percent``, on the whole sets.
-
-    Sets are made again from one text of each node, ``nodes`` (fp, least) naming
-    its doc_id. Their one shuffle, by fp, serves both sides of the join.
-    """
-    asked = written(pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct().join(nodes, "fp").withColumnRenamed("least", "doc_id"), "nodes")
-    count = asked.count()
-    if not count:
-        return pairs
+            prints.append(fp), groups.append(g), prefixes.append(p), kept.append(own), maps.append(bits)
+        lists = lambda found: pa.array([None if x is None else x.view(np.int64) for x in found], pa.list_(pa.int64()))
+        return pa.table({"doc_id": ids, "fp": pa.array(prints, pa.binary()), "n": pa.array([len(s) for s in sets], pa.int64()), "g": pa.array(groups, pa.int64()),
+                         "prefix": lists(prefixes), "shared": pa.array([None if x is None else x.tobytes() for x in kept], pa.binary()), "bits": lists(maps)})
 
-    def run(batches):
-        import pyarrow as pa
+    kind = cut.schema["ids"].dataType.elementType.simpleString()
+    return slices.answered(cut, answers, make, f"doc_id {kind}, fp binary, n bigint, g bigint, prefix array<bigint>, shared binary, bits array<bigint>")
 
-        for batch in batches:
-            ids, held, size = [], [], 0
-            made = lambda: pa.RecordBatch.from_arrays([pa.array(ids, batch.column("doc_id").type), pa.array([hashing.fingerprint(s) for s in held], pa.binary()), pa.array([s.tobytes() for s in held], pa.binary())], ["doc_id", "fp", "hashes"])  # noqa: E731, B023
-            names = batch.column("doc_id").to_pylist()
-            for i, s in hashing.shingle_sets(hashing.texts_of(batch.column("_text")), n):
-                ids.append(names[i])
-                held.append(s)
-                size += len(s)
-                if size > 300_000:
-                    yield made()
-                    ids, held, size = [], [], 0
-            if held:
-                yield made()
+
+def _distinct(sets):
+    return list({hashing.fingerprint(s): s for s in sets if len(s)}.values())
+
+
+def verified(nodes: DataFrame, percent: int, pairs: DataFrame) -> DataFrame:
+    """The pairs (u, v) of fingerprints whose sets reach ``percent``, on all their shared shingles.
+
+    A pair carries the set of its end with fewer partners to a part of those of
+    the other; an end's set goes to each ``FAN`` of its partners once.
+    """
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("fp")).groupBy("fp").agg(F.count("*").alias("k"))
+    ends = written(ends, "ends")
+    degrees = lambda end: ends.select(F.col("fp").alias(end), F.col("k").alias(f"k{end}"))
+    swap = F.col("ku") > F.col("kv")
+    turned = pairs.join(degrees("u"), "u").join(degrees("v"), "v").select(
+        *[F.when(swap, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("u", "v"), ("v", "u"))], F.greatest("ku", "kv").alias("k"))
+    parts = lambda k: F.ceil(k / FAN).cast("int")
+    sets = written(nodes.select("fp", "n", "shared").join(ends, "fp"), "sets")
+    left = turned.join(sets.select(F.col("fp").alias("u"), F.col("n").alias("nu"), F.col("shared").alias("a")), "u").withColumn("part", F.pmod(F.hash("u"), parts(F.col("k"))))
+    right = sets.select(F.col("fp").alias("v"), F.col("n").alias("nv"), F.col("shared").alias("b"), F.explode(F.sequence(F.lit(0), parts(F.col("k")) - 1)).alias("part"))
+    both = left.join(right, ["v", "part"]).select("u", "v", "nu", "nv", "a", "b")
 
     def judge(batches):
         import pyarrow as pa
 
         for batch in batches:
+            sizes = batch.column("nu").to_numpy() + batch.column("nv").to_numpy()
             good = []
-            for a, b in zip(batch.column("a"), batch.column("b")):
-                a, b = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                good.append(100 * both >= percent * (len(a) + len(b) - both))
+            for size, a, b in zip(sizes, batch.column("a"), batch.column("b")):
+                common = len(np.intersect1d(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64), assume_unique=True))
+                good.append(100 * common >= percent * (int(size) - common))
             yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    asked = F.broadcast(asked) if count <= BROADCAST_NODES else asked
-    made = docs.mapInArrow(run, f"doc_id {kind}, fp binary, hashes binary")
-    one = made.join(asked.withColumnsRenamed({"fp": "_fp", "doc_id": "_id"}), (F.col("fp") == F.col("_fp")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    sets = one.groupBy("fp").agg(F.max("hashes").alias("hashes"))
-    left = pairs.join(sets.select(F.col("fp").alias("u"), F.col("hashes").alias("a")), "u")
-    both = left.join(sets.select(F.col("fp").alias("v"), F.col("hashes").alias("b")), "v").select("u", "v", "a", "b")
-    return written(both.mapInArrow(judge, "u binary, v binary"), "links")
+    found = written(both.mapInArrow(judge, "u binary, v binary"), "links", **slices.SMALL)
+    dropped(ends, sets)
+    return found
 
 
 def _fits(n1, n2, percent: int):
@@ -185,70 +133,100 @@ def _met(n1, n2, percent: int):
     return F.ceil(F.lit(percent) * (n1 + n2) / (100 + percent)) - F.greatest(rest(n1), rest(n2))
 
 
-def links(docs: DataFrame, rows: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
-    """Enough links (u, v) between nodes to join every component. ``rows`` is the grouped table."""
-    groups = rows.filter("prefix is not null")
+def _may_differ(n1, n2, percent: int):
+    return n1 + n2 - 2 * F.ceil(F.lit(percent) * (n1 + n2) / (100 + percent))
+
+
+def _apart(bits: str, others: str):
+    """Buckets that only one of two sets has."""
+    return F.aggregate(F.zip_with(bits, others, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda x, y: x + y)
+
+
+def _likely(groups: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) of nodes to be tried first: of each group its likeliest neighbour by size and its likeliest hub, and each node with its group's head.
+
+    Neighbours are sought among ``LIST`` entries of a list or so. A hub is the group of a list whose own lists are
+    longest, which is what copies with edits were made from. What this misses, the second step finds.
+    """
     entries = groups.select("g", "n", F.explode("prefix").alias("token"))
-    by_size = Window.partitionBy("token").orderBy("n", "g")
-    beside = entries.withColumn("g0", F.lag("g").over(by_size)).withColumn("n0", F.lag("n").over(by_size)).withColumn("g1", F.lead("g").over(by_size))
-    lists = written(beside.filter("g0 != g or g1 != g").drop("g1"), "lists")
-    members = written(groups.select("g", "n", "fp", "bits").distinct(), "members")
-    heads = members.groupBy("g").agg(F.min("fp").alias("fp"))
-    # Hubs: in each list the group whose own lists are longest, which is what copies with edits were made from. Of these
-    # and of the neighbours by size, each group tries its likeliest only; what this misses, the second step finds.
-    lengths = lists.groupBy("token").agg(F.count("*").alias("length"))
-    scores = lists.select("token", "g").join(lengths, "token").groupBy("g").agg(F.sum("length").alias("score"))
-    hubs = lists.select("token", "g", "n").join(scores, "g").groupBy("token").agg(F.max_by(F.struct("g", "n"), F.struct("score", "g")).alias("hub"))
-    to_hub = lists.select("token", "g", "n").join(hubs, "token").select("g", "n", F.col("hub.g").alias("g0"), F.col("hub.n").alias("n0"))
+    lengths = entries.groupBy("token").agg(F.count("*").alias("length")).filter("length > 1")
+    lists = written(entries.join(lengths, "token"), "lists")
+    dealt = lists.withColumn("salt", F.pmod(F.hash("g"), F.ceil(F.col("length") / LIST)))
+    beside = dealt.withColumn("o", F.lag(F.struct("g", "n")).over(Window.partitionBy("token", "salt").orderBy("n", "g"))).select("g", "n", F.col("o.g").alias("g0"), F.col("o.n").alias("n0"))
+    scores = lists.groupBy("g").agg(F.sum("length").alias("score"))
+    hubs = lists.join(scores, "g").groupBy("token").agg(F.max_by(F.struct("g", "n"), F.struct("score", "g")).alias("hub"))
+    to_hub = lists.join(hubs, "token").select("g", "n", F.col("hub.g").alias("g0"), F.col("hub.n").alias("n0"))
 
     def likeliest(tried: DataFrame) -> DataFrame:
         tried = tried.filter("g0 != g").filter(_fits(F.col("n"), F.col("n0"), percent)).groupBy("g", "n", "g0", "n0").agg(F.count("*").alias("k"))
-        return tried.filter(2 * F.col("k") >= _met(F.col("n"), F.col("n0"), percent)).groupBy("g").agg(F.max_by("g0", F.struct("k", "g0")).alias("g0"))
-
-    steps = likeliest(lists.select("g", "n", "g0", "n0")).unionByName(likeliest(to_hub))
-    across = steps.join(heads.withColumnRenamed("fp", "u"), "g").join(heads.select(F.col("g").alias("g0"), F.col("fp").alias("v")), "g0").select("u", "v")
-    inside = members.withColumn("v", F.lag("fp").over(Window.partitionBy("g").orderBy("fp"))).filter("v is not null").select(F.col("fp").alias("u"), "v")
-    ordered = lambda df: df.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u != v").distinct()
-    first = written(ordered(across.unionByName(inside)), "pairs")
-    found = verified(docs, nodes, n, percent, first)
-
+        return tried.filter(F.col("k") >= _met(F.col("n"), F.col("n0"), percent) / 2).groupBy("g").agg(F.max_by("g0", F.struct("k", "g0")).alias("g0"))
+
+    heads = nodes.groupBy("g").agg(F.min_by(F.struct("fp", "bits", "n"), "fp").alias("h")).select("g", "h.*")
+    steps = likeliest(beside.filter("g0 is not null")).unionByName(likeliest(to_hub)).distinct()
+    head = lambda g, x: heads.select(F.col("g").alias(g), F.col("fp").alias(x), F.col("bits").alias(f"bits{x}"), F.col("n").alias(f"n{x}"))
+    across = steps.join(head("g", "u"), "g").join(head("g0", "v"), "g0").filter(_apart("bitsu", "bitsv") <= _may_differ(F.col("nu"), F.col("nv"), percent)).select("u", "v")
+    inside = nodes.select("g", F.col("fp").alias("u")).join(heads.select("g", F.col("fp").alias("v")), "g").select("u", "v")
+    pairs = across.unionByName(inside).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u != v").distinct()
+    return lists, written(pairs, "pairs")
+
+
+def links(rows: DataFrame, percent: int) -> DataFrame:
+    """Enough links (u, v) between nodes to join every component; ``rows`` are those of _placed."""
+    nodes = written(rows.filter("g is not null").select("fp", "n", "g", "prefix", "shared", "bits").dropDuplicates(["fp"]), "nodes")
+    groups = nodes.select("g", "n", "prefix").dropDuplicates(["g"])
+    lists, first = _likely(groups, nodes, percent)
+    found = verified(nodes, percent, first)
     labels = components(found)
-    placed = written(members.join(labels, F.col("fp") == F.col("node"), "left").select("g", "n", "fp", "bits", F.coalesce("component", "fp").alias("c")), "placed")
-    group_parts = placed.select("g", "c").distinct()
+    placed = written(nodes.select("fp", "n", "g", "bits").join(labels, F.col("fp") == F.col("node"), "left").select("fp", "n", "g", "bits", F.coalesce("component", "fp").alias("c")), "placed")
+
+    # Parts of groups: members that are in one component. Their bitmaps meet in "all" and "any".
     each = range(LONGS)
-    maps = placed.groupBy("g", "c").agg(*[F.bit_and(F.get("bits", F.lit(i))).alias(f"all{i}") for i in each], *[F.bit_or(F.get("bits", F.lit(i))).alias(f"any{i}") for i in each])
-    parts = lists.select("token", "g", "n").distinct().join(group_parts, "g")
+    maps = placed.groupBy("g", "c").agg(
+        F.array(*[F.bit_and(F.get("bits", F.lit(i))) for i in each]).alias("all"), F.array(*[F.bit_or(F.get("bits", F.lit(i))) for i in each]).alias("any"), F.max("n").alias("n"))
+    maps = written(maps, "maps")
+    parts = lists.select("token", "g").join(maps.select("g", "c"), "g")
     sizes = parts.groupBy("token", "c").agg(F.count("*").alias("k"))
     mixed = sizes.groupBy("token").agg(F.max_by("c", F.struct("k", "c")).alias("largest"), F.count("*").alias("n_parts")).filter("n_parts > 1").drop("n_parts")
     open_lists = written(parts.join(mixed, "token").join(maps, ["g", "c"]), "open")
-    bits = lambda side: [F.col(f"{kind}{i}").alias(f"{kind}{i}{side}") for i in each for kind in ("all", "any")]
-    a = open_lists.filter("c != largest").select("token", F.col("g").alias("ga"), F.col("n").alias("na"), F.col("c").alias("ca"), *bits("a"))
-    b = open_lists.select("token", F.col("g").alias("gb"), F.col("n").alias("nb"), F.col("c").alias("cb"), "largest", *bits("b"))
-    apart = sum((F.bit_count(F.col(f"all{i}{x}").bitwiseAND(F.bitwise_not(F.col(f"any{i}{y}")))) for i in each for x, y in ("ab", "ba")), F.lit(0))
-    may_differ = F.col("na") + F.col("nb") - 2 * F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / (100 + percent))
+    side = lambda x: [F.col(c).alias(f"{c}{x}") for c in ("g", "c", "n", "all", "any")]
+    a = open_lists.filter("c != largest").select("token", *side("a"))
+    b = open_lists.select("token", *side("b"), "largest")
+    outside = lambda x, y: F.aggregate(F.zip_with(f"all{x}", f"any{y}", lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda s, t: s + t)
+    near = _fits(F.col("na"), F.col("nb"), percent) & (outside("a", "b") + outside("b", "a") <= _may_differ(F.col("na"), F.col("nb"), percent))
     once = (F.col("cb") == F.col("largest")) | (F.col("ga") < F.col("gb")) | ((F.col("ga") == F.col("gb")) & (F.col("ca") < F.col("cb")))
-    met = a.join(b, (a["token"] == b["token"]) & (F.col("ca") != F.col("cb")) & once & _fits(F.col("na"), F.col("nb"), percent) & (apart <= may_differ))
+    met = a.join(b, (a["token"] == b["token"]) & (F.col("ca") != F.col("cb")) & once & near)
     # A pair's side depends on the list's largest component, so both directions count as one.
     swap = F.struct("ga", "ca") > F.struct("gb", "cb")
     pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x)).alias(x)
     met = met.select(pick("ga", "gb"), pick("ca", "cb"), pick("na", "nb"), pick("gb", "ga"), pick("cb", "ca"), pick("nb", "na"))
     met = met.groupBy("ga", "ca", "na", "gb", "cb", "nb").agg(F.count("*").alias("k")).filter(F.col("k") >= _met(F.col("na"), F.col("nb"), percent)).select("ga", "ca", "gb", "cb")
-    same = group_parts.select(F.col("g").alias("ga"), F.col("c").alias("ca")).join(group_parts.select(F.col("g").alias("gb"), F.col("c").alias("cb")), (F.col("ga") == F.col("gb")) & (F.col("ca") < F.col("cb")))
-    pairs = met.unionByName(same).distinct()
-    own = placed.select("g", "c", "fp")
-    second = pairs.join(own.select(F.col("g").alias("ga"), F.col("c").alias("ca"), F.col("fp").alias("u")), ["ga", "ca"]).join(
-        own.select(F.col("g").alias("gb"), F.col("c").alias("cb"), F.col("fp").alias("v")), ["gb", "cb"]).select("u", "v")
-    second = written(ordered(second).join(first, ["u", "v"], "left_anti"), "pairs")
-    return found.unionByName(verified(docs, nodes, n, percent, second))
+    same = maps.select(*side("a")).join(maps.select(*side("b")), (F.col("ga") == F.col("gb")) & (F.col("ca") < F.col("cb")) & near).select("ga", "ca", "gb", "cb")
+    pairs = written(met.unionByName(same).distinct(), "parts")
+    own = lambda x, y: placed.select(F.col("g").alias(f"g{x}"), F.col("c").alias(f"c{x}"), F.col("fp").alias(y), F.col("n").alias(f"n{y}"), F.col("bits").alias(f"bits{y}"))
+    members = pairs.join(own("a", "u"), ["ga", "ca"])
+    others = own("b", "v").withColumnsRenamed({"gb": "_g", "cb": "_c"})
+    close = _apart("bitsu", "bitsv") <= _may_differ(F.col("nu"), F.col("nv"), percent)
+    second = members.join(others, (F.col("gb") == F.col("_g")) & (F.col("cb") == F.col("_c")) & close).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    second = written(second.distinct().join(first, ["u", "v"], "left_anti"), "pairs")
+    more = verified(nodes, percent, second)
+    dropped(nodes, lists, first, placed, maps, open_lists, pairs, second)
+    return found.unionByName(more)
 
 
 def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id."""
-    bounded(docs.sparkSession)
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
-    rows = written(_grouped(docs, n, _hot(docs, n), percent), "groups")
-    nodes = written(rows.filter("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    labels = components(links(docs, rows, nodes, n, percent))
+    cut = slices.sliced(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")))
+    plan = slices.Plan(cut, exact=False)
+
+    def tokens(texts):
+        if found := _distinct([s for _, s in hashing.shingle_sets(texts, n)]):
+            yield 1, np.concatenate(found)
+
+    answers = written(slices.counted(slices.requests(cut, plan, tokens), plan), "answers", **slices.ONE)
+    rows = written(_placed(cut, answers, plan, n, percent), "rows", **slices.SMALL)
+    dropped(cut, answers)
+    nodes = written(rows.filter("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("least")), "least")
+    labels = components(links(rows, percent))
     named = nodes.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("c"))
     ids = named.groupBy("c").agg(F.min("least").alias("component_id"))
     named = named.join(ids, "c").select("fp", "component_id")
