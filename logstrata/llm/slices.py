@@ -22,7 +22,7 @@ from logstrata.llm import hashing
 from logstrata.llm.arrow import BATCH_BYTES
 from logstrata.plans.durable import written
 
-SLICE = 4 << 20  # bytes of text; a longer text is a slice of its own
+SLICE = 2 << 20  # bytes of text; a longer text is a slice of its own
 PARTITION = 16 << 20  # bytes of text for each partition of the hash space
 SMALL = {"spark__sql__execution__arrow__maxBytesPerBatch": str(BATCH_BYTES), "spark__sql__execution__arrow__maxRecordsPerBatch": "2000"}
 ONE = SMALL | {"spark__sql__execution__arrow__maxRecordsPerBatch": "4"}  # rows that are slices
