@@ -12,6 +12,7 @@ import numpy as np
 PIECE = 1 << 18
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
+_SALT = _U(0x5851F42D4C957F2D)
 _INVERSE = pow(_BASE, -1, 1 << 64)
 SPACES = (0x20, *range(0x09, 0x0E))
 
@@ -106,12 +107,8 @@ def texts_of(column) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
-def ngram_hashes(words, n: int):
-    """Hashes of runs of ``n`` words; a shorter text that isn't empty is one run."""
-    if not len(words):
-        return words
-    n = min(n, len(words))
-    m = len(words) - n + 1
+def _ngrams(words, n: int):
+    m = max(0, len(words) - n + 1)
     total = np.full(m, n, _U)
     with np.errstate(over="ignore"):
         for k in range(n):
@@ -119,15 +116,49 @@ def ngram_hashes(words, n: int):
     return total
 
 
-def shingle_sets(texts: list[bytes], n: int):
-    """Yields (place, sorted distinct shingle hashes) of every text."""
+def ngram_hashes(words, n: int):
+    """Hashes of runs of ``n`` words; a shorter text that isn't empty is one run."""
+    return _ngrams(words, min(n, len(words))) if len(words) else words
+
+
+def distinct(hashes):
+    """Sorted, each once."""
+    hashes = np.sort(hashes)
+    return hashes[np.concatenate((hashes[:1] == hashes[:1], hashes[1:] != hashes[:-1]))]
+
+
+def shingles(texts: list[bytes], n: int):
+    """Yields (place, shingle hashes in the order of the text) of every text; those of texts that are hashed together are made together."""
     for first, arrays in word_hashes(texts, True):
+        if len(arrays) == 1:
+            yield first, ngram_hashes(arrays[0], n)
+            continue
+        whole, at = _ngrams(np.concatenate(arrays), n), 0
         for i, words in enumerate(arrays, first):
-            yield i, np.unique(ngram_hashes(words, n))
+            yield i, whole[at : at + len(words) - n + 1] if len(words) >= n else ngram_hashes(words, n)
+            at += len(words)
+
+
+def shingle_sets(texts: list[bytes], n: int):
+    """Yields (place, sorted distinct shingle hashes) of every text."""
+    for i, found in shingles(texts, n):
+        yield i, distinct(found)
+
+
+def fingerprints(sets: list) -> list[bytes | None]:
+    """fingerprint() of each set; None for an empty one."""
+    full = [s for s in sets if len(s)]
+    if not full:
+        return [None] * len(sets)
+    flat, starts = np.concatenate(full), np.cumsum([0] + [len(s) for s in full])[:-1]
+    with np.errstate(over="ignore"):
+        sums = np.stack([np.add.reduceat(mixed(x), starts) for x in (flat, flat ^ _SALT)], 1)
+    made = iter(sums)
+    return [next(made).tobytes() if len(s) else None for s in sets]
 
 
 def fingerprint(hashes) -> bytes:
     """128 bits of a set of hashes."""
     with np.errstate(over="ignore"):
-        a, b = mixed(hashes).sum(dtype=_U), mixed(hashes ^ _U(0x5851F42D4C957F2D)).sum(dtype=_U)
+        a, b = mixed(hashes).sum(dtype=_U), mixed(hashes ^ _SALT).sum(dtype=_U)
     return np.array([a, b], _U).tobytes()

@@ -57,26 +57,25 @@ def _placed(cut: DataFrame, answers: DataFrame, plan: slices.Plan, n: int, perce
     def make(ids, texts, counts):
         import pyarrow as pa
 
-        sets = [s for _, s in hashing.shingle_sets(texts, n)]
-        asked = np.unique(plan.keys(np.concatenate(_distinct(sets)))) if any(map(len, sets)) else np.zeros(0, np.uint64)
+        sets, prints, first = _sets(texts, n)
+        own = [sets[i] for i in first.values()]
+        flat = np.concatenate(own) if own else np.zeros(0, np.uint64)
+        asked, places = np.unique(plan.keys(flat), return_inverse=True)
         told = counts.get(1, np.zeros(0, np.int64))
         if len(asked) != len(told):
             raise ValueError("a slice's answers don't fit its questions")
-        prints, groups, prefixes, kept, maps, seen = [], [], [], [], [], set()
-        for s in sets:
-            fp = hashing.fingerprint(s) if len(s) else None
-            g = p = own = bits = None
-            if len(s) and fp not in seen:
-                seen.add(fp)
-                df = told[np.searchsorted(asked, plan.keys(s))]
-                shared = df > 1
-                room = prefix_length(len(s), percent) - int((~shared).sum())
-                if room > 0 and shared.any():
-                    own = s[shared]
-                    p = own[np.lexsort((own, df[shared]))[:room]]
-                    g = int(np.frombuffer(hashing.fingerprint(np.append(p, np.uint64(len(s)))), np.int64)[0])
-                    bits = bitmap(s)
-            prints.append(fp), groups.append(g), prefixes.append(p), kept.append(own), maps.append(bits)
+        uses, at = told[places], 0
+        groups, prefixes, kept, maps = ([None] * len(sets) for _ in range(4))
+        for i in first.values():
+            s, df = sets[i], uses[at : at + len(sets[i])]
+            at += len(s)
+            shared = df > 1
+            room = prefix_length(len(s), percent) - len(s) + int(shared.sum())
+            if room > 0 and shared.any():
+                kept[i] = s[shared]
+                prefixes[i] = kept[i][np.lexsort((kept[i], df[shared]))[:room]]
+                groups[i] = int(np.frombuffer(hashing.fingerprint(np.append(prefixes[i], np.uint64(len(s)))), np.int64)[0])
+                maps[i] = bitmap(s)
         lists = lambda found: pa.array([None if x is None else x.view(np.int64) for x in found], pa.list_(pa.int64()))
         return pa.table({"doc_id": ids, "fp": pa.array(prints, pa.binary()), "n": pa.array([len(s) for s in sets], pa.int64()), "g": pa.array(groups, pa.int64()),
                          "prefix": lists(prefixes), "shared": pa.array([None if x is None else x.tobytes() for x in kept], pa.binary()), "bits": lists(maps)})
@@ -85,8 +84,14 @@ def _placed(cut: DataFrame, answers: DataFrame, plan: slices.Plan, n: int, perce
     return slices.answered(cut, answers, make, f"doc_id {kind}, fp binary, n bigint, g bigint, prefix array<bigint>, shared binary, bits array<bigint>")
 
 
-def _distinct(sets):
-    return list({hashing.fingerprint(s): s for s in sets if len(s)}.values())
+def _sets(texts: list[bytes], n: int):
+    """(sets, their fingerprints, the first place of each distinct one that isn't empty) of the texts of a slice."""
+    sets = [s for _, s in hashing.shingle_sets(texts, n)]
+    prints, first = hashing.fingerprints(sets), {}
+    for i, fp in enumerate(prints):
+        if fp is not None:
+            first.setdefault(fp, i)
+    return sets, prints, first
 
 
 def verified(nodes: DataFrame, percent: int, pairs: DataFrame) -> DataFrame:
@@ -216,11 +221,12 @@ def links(rows: DataFrame, percent: int) -> DataFrame:
 def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id."""
     cut = slices.sliced(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")))
-    plan = slices.Plan(cut, exact=False)
+    plan = slices.Plan(cut, spare=8)  # a rare collision only costs work
 
     def tokens(texts):
-        if found := _distinct([s for _, s in hashing.shingle_sets(texts, n)]):
-            yield 1, np.concatenate(found)
+        sets, _, first = _sets(texts, n)
+        if first:
+            yield 1, np.concatenate([sets[i] for i in first.values()])
 
     answers = written(slices.counted(slices.requests(cut, plan, tokens), plan), "answers", **slices.ONE)
     rows = written(_placed(cut, answers, plan, n, percent), "rows", **slices.SMALL)

@@ -84,13 +84,15 @@ def unpacked(data: bytes):
 
 
 class Plan:
-    """How many partitions the hash space has, and how many bytes of a hash tell tokens apart: both follow the size of the corpus."""
+    """How many partitions the hash space has, and how many bytes of a hash tell tokens apart: both follow the size of the corpus.
 
-    def __init__(self, slices: DataFrame, exact: bool):
+    ``spare`` bits more than the corpus has bytes are kept, 2**spare hash values for each byte.
+    """
+
+    def __init__(self, slices: DataFrame, spare: int):
         size = slices.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
         self.bits = max(4, int(np.ceil(np.log2(max(1, size / PARTITION)))))
-        #: Where a rare collision only costs work, 256 hash values for each token are enough.
-        self.width = 8 if exact else min(8, max(5, int(np.ceil((np.log2(max(2, size)) + 8) / 8))))
+        self.width = min(8, max(4, int(np.ceil((np.log2(max(2, size)) + spare) / 8))))
 
     def keys(self, tokens):
         return tokens >> np.uint64(64 - 8 * self.width)
@@ -130,18 +132,18 @@ def requests(slices: DataFrame, plan: Plan, tokens: Callable) -> DataFrame:
 
 
 def counted(asked: DataFrame, plan: Plan) -> DataFrame:
-    """(slice, kind, part, counts) of each message: the sums over all slices. The counts of a partition of the hash space are one task's work at a time."""
+    """(slice, kind, part, counts, own) of each message: the sums over all slices, and what the message itself has. The counts of a partition of the hash space are one task's work at a time."""
     def count(table):
         import pyarrow as pa
 
         keys = [plan.spread(x.as_py()) for x in table.column("keys")]
-        own = np.concatenate([unpacked(x.as_py()) for x in table.column("counts")])
+        counts = [unpacked(x.as_py()) for x in table.column("counts")]
         _, places = np.unique(np.concatenate(keys), return_inverse=True)
-        sums = np.bincount(places, weights=own)[places].astype(np.int64)
+        sums = np.bincount(places, weights=np.concatenate(counts))[places].astype(np.int64)
         cuts = np.cumsum([0] + [len(k) for k in keys])
-        return pa.table({"slice": table.column("slice"), "kind": table.column("kind"), "part": table.column("part"), "counts": pa.array([packed(sums[a:b]) for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())})
+        return pa.table({"slice": table.column("slice"), "kind": table.column("kind"), "part": table.column("part"), "counts": pa.array([packed(sums[a:b]) for a, b in zip(cuts[:-1], cuts[1:])], pa.binary()), "own": pa.array([int(x.sum()) for x in counts], pa.int64())})
 
-    return asked.groupBy("kind", "part").applyInArrow(count, "slice bigint, kind int, part bigint, counts binary")
+    return asked.groupBy("kind", "part").applyInArrow(count, "slice bigint, kind int, part bigint, counts binary, own bigint")
 
 
 def answers_of(table) -> dict:
