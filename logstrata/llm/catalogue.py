@@ -51,7 +51,21 @@ select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, min(o.doc_id) as compon
 
 
 def op6_lm_scoring(spark, sf_dir):
-    return lm_scoring.score(_t(spark, sf_dir, "documents"))
+    scored = lm_scoring.score(_t(spark, sf_dir, "documents"))
+    return scored.withColumns({c: F.round(c, 5) for c in ("log_score", "score")})  # sums of logarithms differ in their last digits
+
+
+OP6_SQL = r"""with d as (select row_number() over () as rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+t as (select rid, i, w[i] as a, w[i - 1] as b, w[i - 2] as c from (select rid, w, unnest(range(1, len(w) + 1)) as i from d)),
+n as (select rid, i, count(*) over () - count(*) over (partition by rid) as rest, count(*) over (partition by a) - count(*) over (partition by rid, a) as n1,
+  case when i > 1 then count(*) over (partition by b, a, i > 1) - count(*) over (partition by rid, b, a, i > 1) end as n2,
+  case when i > 2 then count(*) over (partition by c, b, a, i > 2) - count(*) over (partition by rid, c, b, a, i > 2) end as n3 from t),
+p as (select *, lag(n1) over (partition by rid order by i) as c1, lag(n2) over (partition by rid order by i) as c2 from n),
+s1 as (select *, ln(greatest(n1, 0.5) / greatest(rest, 1)) as v1 from p),
+s2 as (select *, case when i = 1 then v1 when n2 > 0 then ln(n2 / c1) else ln(0.4) + v1 end as v2 from s1),
+s3 as (select *, case when i < 3 then v2 when n3 > 0 then ln(n3 / c2) else ln(0.4) + v2 end as v3 from s2),
+x as (select rid, sum(v3) as v from s3 group by rid)
+select doc_id, cast(len(w) as bigint) as n_words, round(coalesce(v, 0), 5) as log_score, round(coalesce(v / len(w), 0), 5) as score from d left join x using (rid)"""
 
 
 URL_RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
@@ -117,7 +131,7 @@ from d left join hit using (rid) left join it using (rid)"""
 _QUERIES = {
     "op1_quality_classifier": (op1_quality_classifier, None),
     "op2_secret_scan": (op2_secret_scan, None),
-    "op6_lm_scoring": (op6_lm_scoring, None),
+    "op6_lm_scoring": (op6_lm_scoring, OP6_SQL),
     "op7_url_filter": (op7_url_filter, None),
     "op8_toxicity": (op8_toxicity, None),
     "op3_sharding": (op3_sharding, OP3_SQL),

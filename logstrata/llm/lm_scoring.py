@@ -1,174 +1,103 @@
 """Stupid-backoff scores from n-gram count tables.
 
-1. Texts are cut into batches of about ``BATCH`` bytes. Each batch sends its
-   distinct n-grams with their counts to the hash partition that owns them, as
-   one packed row per order and partition: combined before the shuffle, so a
-   word that is everywhere is one entry per batch.
-2. Each partition sums its part of the count tables and answers every batch with
-   the counts of its n-grams.
-3. Texts meet the answers of their batch; scores are summed per document. A
-   document's own occurrences are taken out of the counts first, else every
-   n-gram would have been seen.
-
-A seen bigram scores count / count of its first word; an unseen one ``BACKOFF``
-times its second word's share of all words; an unseen word counts as one half.
-The number of hash partitions follows the input, so each stays near
-``PARTITION`` bytes of text; nothing is broadcast, and the driver sees two sums.
-
-Batches are named by the file, block and row that they start at, which any rerun
-finds again; input that isn't read from files is written first. n-grams are
-64-bit hashes. Null and empty texts have no words and score 0. Repeated rows are
-documents of their own and support each other. An empty table gives an empty
-result. Only the id and the text are read.
+1. Each order's n-grams are counted over all texts in a table that is
+   partitioned by their hash. A slice of texts sends its distinct n-grams with
+   their counts to the partitions that own them, packed in one message each
+   (``slices``), so a word that is everywhere is one entry a slice.
+2. The count table meets the exploded n-grams: each partition answers every
+   message with the sums, and a slice's answers come back to its texts.
+3. Scores of words are summed per document. A document's own occurrences are
+   taken out of the counts first, else every n-gram would have been seen.
+
+A seen n-gram scores its count over that of its first n-1 words; an unseen one
+``BACKOFF`` times the score with one word less of context; an unseen word counts
+as one half. A text's first words have what context there is. One order is
+counted at a time and its shuffle freed; nothing is broadcast, and the driver
+sees sums only.
+
+n-grams are told apart by 16 bits of hash more than the corpus has bytes. Null
+and empty texts have no words and score 0. Very long texts are slices of their
+own, hashed in pieces. Repeated rows are documents of their own and support each
+other; null and repeated ids are rows like any other. An empty table gives an
+empty result. Only the id and the text are read, so other columns can't clash.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logstrata.llm import hashing
-from logstrata.plans.durable import written
+from logstrata.llm import hashing, slices
+from logstrata.plans.durable import dropped, written
 
-ORDER = 2
+ORDER = 3
 BACKOFF = 0.4
-BATCH = 1 << 20
-PARTITION = 8 << 20
-
-
-def _slices(batches):
-    """Yields (name, ids, texts): runs of rows of one file block, named by their place."""
-    place, row = None, 0
-    for batch in batches:
-        texts, ids = hashing.texts_of(batch.column("_text")), batch.column("doc_id")
-        spots = list(zip(batch.column("_file").to_pylist(), batch.column("_block").to_pylist()))
-        begin, size = 0, 0
-        for i in range(batch.num_rows + 1):
-            ends = i == batch.num_rows or spots[i] != place
-            if i > begin and (ends or size + len(texts[i]) > BATCH):
-                name = hashlib.md5(f"{place} {row - (i - begin)}".encode()).digest()
-                yield name, ids[begin:i], texts[begin:i]
-                begin, size = i, 0
-            if i == batch.num_rows:
-                break
-            if spots[i] != place:
-                place, row = spots[i], 0
-            size += len(texts[i])
-            row += 1
-
-
-def _packed(counts) -> bytes:
-    """Counts in the smallest unsigned type that holds them, after its size."""
-    kind = np.min_scalar_type(int(counts.max()) if len(counts) else 0)
-    return bytes([kind.itemsize]) + counts.astype(kind).tobytes()
-
-
-def _unpacked(data: bytes):
-    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
-
-
-def _grams(texts: list[bytes]):
-    """(words of each text, for each order the hashes of each text's n-grams)."""
-    words = [w for _, found in hashing.word_hashes(texts, True) for w in found]
-    pairs = [hashing.ngram_hashes(w, 2) if len(w) > 1 else w[:0] for w in words]
-    return words, pairs
-
-
-def requests(docs: DataFrame, bits: int) -> DataFrame:
-    """(batch, gram, part, keys, counts, total): sorted distinct hashes whose first ``bits`` bits are ``part``."""
-    def run(batches):
-        import pyarrow as pa
-
-        for name, _, texts in _slices(batches):
-            rows = []
-            for order, hashes in enumerate(_grams(texts), 1):
-                keys, counts = np.unique(np.concatenate(hashes), return_counts=True)
-                owner = (keys >> np.uint64(64 - bits)).astype(np.int64)
-                cuts = np.flatnonzero(np.diff(owner, prepend=-1))
-                for a, b in zip(cuts, [*cuts[1:], len(keys)]):
-                    rows.append((name, order, int(owner[a]), keys[a:b].tobytes(), _packed(counts[a:b]), int(counts[a:b].sum())))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64()))], ["batch", "gram", "part", "keys", "counts", "total"])
-
-    return docs.mapInArrow(run, "batch binary, gram int, part bigint, keys binary, counts binary, total bigint")
 
 
-def answered(asked: DataFrame) -> DataFrame:
-    """(batch, gram, part, counts, total): the counts over all batches, in the order of the request's keys."""
-    def count(table):
-        import pyarrow as pa
+def _words(texts: list[bytes]) -> list:
+    return [w for _, found in hashing.word_hashes(texts, True) for w in found]
 
-        keys = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("keys")]
-        own = np.concatenate([_unpacked(x.as_py()) for x in table.column("counts")])
-        _, places = np.unique(np.concatenate(keys), return_inverse=True)
-        sums = np.bincount(places, weights=own)[places].astype(np.int64)
-        cuts = np.cumsum([0] + [len(k) for k in keys])
-        answers = [_packed(sums[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
-        return pa.table({"batch": table.column("batch"), "gram": table.column("gram"), "part": table.column("part"), "counts": pa.array(answers, pa.binary()), "total": table.column("total")})
 
-    return asked.groupBy("gram", "part").applyInArrow(count, "batch binary, gram int, part bigint, counts binary, total bigint")
+def _grams(words: list, order: int) -> list:
+    """The hashes of each text's n-grams; a shorter text has none."""
+    return [hashing.ngram_hashes(w, order) if order > 1 and len(w) >= order else w if order == 1 else w[:0] for w in words]
 
 
-def _looked_up(hashes: list, counts):
-    """Counts of every n-gram of every text, less the text's own."""
-    _, places = np.unique(np.concatenate(hashes), return_inverse=True)
+def _others(grams: list, told, plan: slices.Plan):
+    """Counts of every n-gram of every text of a slice, less the text's own."""
+    keys = plan.keys(np.concatenate(grams)) if grams else np.zeros(0, np.uint64)
+    distinct, places = np.unique(keys, return_inverse=True)
+    if len(distinct) != len(told):
+        raise ValueError("a slice's answers don't fit its questions")
     at = 0
-    for h in hashes:
-        own = places[at : at + len(h)]
-        at += len(h)
+    for g in grams:
+        own = places[at : at + len(g)]
+        at += len(g)
         _, inner, times = np.unique(own, return_inverse=True, return_counts=True)
-        yield counts[own] - times[inner]
+        yield told[own] - times[inner] if len(g) else np.zeros(0, np.int64)
 
 
-def scored(words, pairs, counts, total: int):
-    """(n_words, log_score) of the texts of a batch."""
-    for w, one, two in zip(words, _looked_up(words, counts[1]), _looked_up(pairs, counts[2])):
-        rest = max(1, total - len(w))
-        alone = np.log(np.maximum(one, 0.5) / rest)
-        score = alone[:1].sum()
-        if len(w) > 1:
-            seen = two > 0
-            score += np.where(seen, np.log(np.maximum(two, 1) / np.maximum(one[:-1], 1)), np.log(BACKOFF) + alone[1:]).sum()
-        yield len(w), float(score)
+def scored(counts: list, rest: int, backoff: float = BACKOFF) -> float:
+    """The summed logarithms of a text's words. ``counts[k]`` are those of its runs of k + 1 words, ``rest`` the words of the other texts."""
+    if not len(counts[0]):
+        return 0.0
+    value = np.log(np.maximum(counts[0], 0.5) / max(1, rest))
+    for k in range(1, len(counts)):
+        seen, context = counts[k], counts[k - 1][: len(counts[k])]
+        if len(seen):
+            value[k:] = np.where(seen > 0, np.log(np.maximum(seen, 1) / np.maximum(context, 1)), np.log(backoff) + value[k:])
+    return float(value.sum())
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, backoff: float = BACKOFF) -> DataFrame:
     """doc_id, n_words, log_score (natural logarithm, summed), score (a word's mean; 0 without words)."""
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
-    if not docs.inputFiles():
-        docs = written(docs, "documents")
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()[0]
-    bits = max(4, int(np.ceil(np.log2(max(1, size / PARTITION)))))
-    docs = docs.select("doc_id", "_text", F.input_file_name().alias("_file"), F.input_file_block_start().alias("_block"))
-    answers = written(answered(requests(docs, bits)), "counts")
-    total = answers.filter("gram = 1").agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
-    field = docs.schema["doc_id"].dataType.simpleString()
-
-    def gather(batches):
-        import pyarrow as pa
+    cut = slices.sliced(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")))
+    plan = slices.Plan(cut, spare=16)
+
+    def count(k: int) -> DataFrame:
+        def tokens(texts):
+            found = np.concatenate(_grams(_words(texts), k))
+            if len(found):
+                yield k, found
+
+        return written(slices.counted(slices.requests(cut, plan, tokens), plan), "counts", **slices.ONE)
 
-        for name, ids, texts in _slices(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([name], pa.binary()), pa.ListArray.from_arrays([0, len(ids)], ids), pa.array([texts], pa.list_(pa.binary()))], ["batch", "ids", "texts"])
+    tables = [count(k) for k in range(1, order + 1)]
+    total = tables[0].agg(F.coalesce(F.sum("own"), F.lit(0))).first()[0]
 
-    def judge(batches):
+    def make(ids, texts, told):
         import pyarrow as pa
 
-        for batch in batches:
-            for i in range(batch.num_rows):
-                ids = batch.column("ids")[i].values
-                words, pairs = _grams(batch.column("texts")[i].as_py())
-                found = {1: [], 2: []}
-                for a in sorted(batch.column("answers")[i].as_py() or [], key=lambda a: a["part"]):
-                    found[a["gram"]].append(_unpacked(a["counts"]))
-                counts = {k: np.concatenate(x) if x else np.zeros(0, np.int64) for k, x in found.items()}
-                made = list(scored(words, pairs, counts, total))
-                sizes, sums = [n for n, _ in made], [s for _, s in made]
-                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(sums, pa.float64())], ["doc_id", "n_words", "log_score"])
-
-    held = docs.mapInArrow(gather, f"batch binary, ids array<{field}>, texts array<binary>")
-    per_batch = answers.groupBy("batch").agg(F.collect_list(F.struct("gram", "part", "counts")).alias("answers"))  # of one batch's n-grams
-    rows = held.join(per_batch, "batch", "left").select("ids", "texts", "answers").mapInArrow(judge, f"doc_id {field}, n_words bigint, log_score double")
+        words = _words(texts)
+        found = [list(_others(_grams(words, k), told.get(k, np.zeros(0, np.int64)), plan)) for k in range(1, order + 1)]
+        sums = [scored([x[i] for x in found], total - len(w), backoff) for i, w in enumerate(words)]
+        return pa.table({"doc_id": ids, "n_words": pa.array([len(w) for w in words], pa.int64()), "log_score": pa.array(sums, pa.float64())})
+
+    kind = cut.schema["ids"].dataType.elementType.simpleString()
+    answers = tables[0]
+    for table in tables[1:]:
+        answers = answers.unionByName(table)
+    rows = written(slices.answered(cut, answers, make, f"doc_id {kind}, n_words bigint, log_score double"), "scores", **slices.ONE)
+    dropped(cut, *tables)
     return rows.withColumn("score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).otherwise(0.0))
