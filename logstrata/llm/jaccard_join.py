@@ -36,7 +36,7 @@ from logstrata.llm import hashing, slices
 from logstrata.llm.components import components
 from logstrata.plans.durable import dropped, written
 
-LONGS = 16  # of a bitmap
+LONGS = 32  # of a bitmap
 LIST = 512  # entries of a prefix list among which neighbours are sought together
 FAN = 256  # partners of a node that are verified in one task
 
