@@ -55,6 +55,20 @@ def written(df: DataFrame, name: str = "table", **held: str) -> DataFrame:
     return table
 
 
+def stored_bytes(table: DataFrame) -> int:
+    """What a table that written() has made takes in the shared folder."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table.written_at)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+
+
+def small(table: DataFrame, rows: int = 2_000_000, stored: int = 16 << 20) -> DataFrame:
+    """A written table, to be broadcast where both its rows and its bytes allow it; else Spark joins by shuffle."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(table) if stored_bytes(table) <= stored and table.count() <= rows else table
+
+
 def dropped(*tables: DataFrame) -> None:
     """Deletes tables that written() has made. Nothing that is still to run may read them."""
     for table in tables:
