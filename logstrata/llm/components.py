@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logstrata.plans.durable import written
+from logstrata.plans.durable import dropped, written
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -36,6 +36,9 @@ def components(edges: DataFrame) -> DataFrame:
         if state == seen or not state[0]:
             break
         seen = state
-        now = written(_small(written(_large(now), "edges")), "edges")
+        large = written(_large(now), "edges")
+        dropped(now)
+        now = written(_small(large), "edges")
+        dropped(large)
     leaves = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return leaves.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()).distinct()

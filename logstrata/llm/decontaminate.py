@@ -17,12 +17,13 @@
 
 Rows are told apart by an id given while the index is written, so null or
 repeated doc_ids and exact copies are separate rows and spread over all tasks.
-The test set is broadcast where its vocabulary is below ``BROADCAST_TERMS``;
-beyond it the same joins shuffle. So for candidate rows and ``BROADCAST_ROWS``.
+The test set is broadcast where its rows and bytes allow it (``durable.small``);
+beyond that the same joins shuffle. So for candidate rows.
 
 Null and empty texts have no words and no hits. Items without words match
 nothing; items shorter than the window are one window. An item_id that repeats
-counts once a text, under one name. An empty table on either side gives no
+counts once a text, under one name; a null one counts, but isn't in the list of
+names. Very long texts are indexed whole. An empty table on either side gives no
 matches. Only ids and texts are taken from the inputs, so other columns can't clash.
 """
 
@@ -33,16 +34,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from logstrata.llm.text import terms
-from logstrata.plans.durable import written
+from logstrata.plans.durable import small, written
 
 SENTINEL = "\x00"  # can't be a term
-BROADCAST_TERMS = 1_000_000
-BROADCAST_ROWS = 2_000_000
-
-
-def _small(df: DataFrame, count: int, bound: int) -> DataFrame:
-    """Broadcast where the counted rows allow it; else Spark joins by shuffle."""
-    return F.broadcast(df) if count <= bound else df
 
 
 def item_words(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -52,14 +46,14 @@ def item_words(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "t
     return rows.select("item", "item_id", F.size("w").alias("n"), F.posexplode("w").alias("ipos", "term"))
 
 
-def build_index(docs: DataFrame, vocabulary: DataFrame, n_vocabulary: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def build_index(docs: DataFrame, vocabulary: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Postings (rid, doc_id, term, pos). A row's sentinel posting has its doc_id and, as pos, its word count."""
     w = terms(F.col("_text"))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")).select(
         F.monotonically_increasing_id().alias("rid"), "doc_id", w.alias("w"))
     tokens = rows.select("rid", "doc_id", F.posexplode(F.concat("w", F.array(F.lit(SENTINEL)))).alias("pos", "term"))
-    known = vocabulary.select("term").unionByName(docs.sparkSession.range(1).select(F.lit(SENTINEL).alias("term")))
-    held = tokens.join(_small(known, n_vocabulary, BROADCAST_TERMS), "term", "left_semi")
+    known = written(vocabulary.select("term").unionByName(docs.sparkSession.range(1).select(F.lit(SENTINEL).alias("term"))), "terms")
+    held = tokens.join(small(known), "term", "left_semi")
     return written(held.select("rid", F.when(F.col("term") == SENTINEL, F.col("doc_id")).alias("doc_id"), "term", "pos"), "postings")
 
 
@@ -93,26 +87,24 @@ class Matches:
                  item_id: str = "item_id", item_text: str = "text", share: float = 0.8):
         self.window, self.slop, self.share = window, slop, share
         self.items = written(item_words(benchmark, item_id, item_text), "items")
-        vocabulary = self.items.select("term").distinct()
-        n_vocabulary = vocabulary.count()
-        self.postings = written_index = build_index(docs, vocabulary, n_vocabulary, doc_id, doc_text)
-        tokens = written_index.filter(F.col("term") != SENTINEL).select("rid", "term", "pos")
+        self.postings = build_index(docs, self.items.select("term").distinct(), doc_id, doc_text)
+        tokens = self.postings.filter(F.col("term") != SENTINEL).select("rid", "term", "pos")
         counts = tokens.groupBy("term").agg(F.count("*").alias("count"))
         places = written(anchors(self.items, counts, window, depth=2), "anchors")
-        lists = tokens.join(_small(places, places.count(), BROADCAST_TERMS), "term").select("rid", "item", "places", (F.col("pos") - F.col("ipos")).alias("diagonal"))
+        lists = tokens.join(small(places), "term").select("rid", "item", "places", (F.col("pos") - F.col("ipos")).alias("diagonal"))
         met = lists.groupBy("rid", "item", "places", "diagonal").agg(F.count("*").alias("n"))  # a place of a row is one posting
         tried = met.filter(F.col("n") == F.size("places")).select("rid", "item", "diagonal")
         if slop:
             spots = written(near_anchors(self.items, counts, share), "near-anchors")
-            hits = tokens.join(_small(spots, spots.count(), BROADCAST_TERMS), "term").withColumn("diagonal", F.col("pos") - F.col("ipos"))
+            hits = tokens.join(small(spots), "term").withColumn("diagonal", F.col("pos") - F.col("ipos"))
             bands = hits.withColumn("band", F.explode(F.sequence(F.col("diagonal") - slop, F.col("diagonal")))).groupBy("rid", "item", "need", "band").agg(
                 F.min("ipos").alias("first"), F.max("ipos").alias("last"))
             bands = bands.filter("need < 2 or first < last")
             tried = tried.unionByName(bands.select("rid", "item", F.explode(F.sequence(F.col("band"), F.col("band") + slop)).alias("diagonal")))
         tried = written(tried.distinct(), "alignments")
-        rows = tried.select("rid").distinct()
-        near = tokens.join(_small(rows, rows.count(), BROADCAST_ROWS), "rid", "left_semi")
-        expected = tried.join(_small(self.items, self.items.count(), BROADCAST_TERMS), "item").select(
+        rows = written(tried.select("rid").distinct(), "candidates")
+        near = tokens.join(small(rows), "rid", "left_semi")
+        expected = tried.join(small(self.items), "item").select(
             "rid", "item", "n", "diagonal", "ipos", "term", (F.col("ipos") + F.col("diagonal")).alias("pos")).filter("pos >= 0")
         self.matched = written(expected.join(near, ["rid", "pos", "term"]).select("rid", "item", "n", "diagonal", "ipos"), "matched")
 
@@ -147,7 +139,7 @@ def report(matches: Matches) -> DataFrame:
     phrases = written(matches.phrases(), "phrases")
     hit = phrases.select("rid", F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("pos")).distinct().groupBy("rid").agg(F.count("*").alias("n_hit"))
     names = matches.items.select("item", F.col("item_id").cast("string").alias("name")).distinct()
-    names = _small(names, names.count(), BROADCAST_TERMS)
+    names = small(written(names, "names"))
     by_row = phrases.select("rid", "item").distinct().join(names, "item").select("rid", "name").distinct().groupBy("rid").agg(
         F.count("*").alias("n_items"), F.array_join(F.sort_array(F.collect_list("name")), ",").alias("ids"))
     found = hit.join(by_row, "rid")
