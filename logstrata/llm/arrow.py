@@ -19,12 +19,13 @@ def bounded(spark: SparkSession) -> None:
         spark.conf.set(LIMIT, str(BATCH_BYTES))
 
 
-def with_columns(docs: DataFrame, added: str, make: Callable) -> DataFrame:
-    """``docs`` and the columns of the DDL string ``added``, which ``make(batch)`` gives as lists. Columns of those names are replaced."""
+def with_columns(docs: DataFrame, added: str, make: Callable, drop: tuple[str, ...] = ()) -> DataFrame:
+    """``docs`` and the columns of the DDL string ``added``, which ``make(batch)`` gives as lists. Columns of those names are replaced; those in ``drop`` end in the worker."""
     bounded(docs.sparkSession)
     new = T._parse_datatype_string(added)
     names = {f.name for f in new.fields}
     base = docs.drop(*names)
+    kept = [f for f in base.schema.fields if f.name not in drop]
 
     def run(batches):
         import pyarrow as pa
@@ -34,6 +35,6 @@ def with_columns(docs: DataFrame, added: str, make: Callable) -> DataFrame:
         for batch in batches:
             columns = make(batch)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, *[pa.array(c, k) for c, k in zip(columns, kinds)]], [*batch.schema.names, *[f.name for f in new.fields]])
+                [*[batch.column(f.name) for f in kept], *[pa.array(c, k) for c, k in zip(columns, kinds)]], [*[f.name for f in kept], *[f.name for f in new.fields]])
 
-    return base.mapInArrow(run, T.StructType([*base.schema.fields, *new.fields]))
+    return base.mapInArrow(run, T.StructType([*kept, *new.fields]))
