@@ -35,6 +35,20 @@ def op4_mixing(spark, sf_dir):
         "doc_id", "size", "source_size", "target", "taken", "source", "shard", "quota", "passes", "first_word", "tail_words", "head_words")
 
 
+def op4_source_targets(spark, sf_dir):
+    """What op4_mixing aims at, source by source."""
+    rows = op4_mixing(spark, sf_dir)
+    return rows.groupBy("source").agg(F.max("source_size").alias("source_size"), F.round(F.max("target"), 6).alias("target"), F.count("*").alias("n_docs"))
+
+
+OP4_TARGETS_SQL = r"""with s as (select source, cast(sum(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))) as double) as size, count(*) as n_docs from documents group by source),
+w as (select *, ([3.0, 1.0, 2.0])[1 + (row_number() over (order by source nulls last) - 1) % 3] as weight from s),
+t as (select least(1.5, 2.0) * sum(size) as whole from s),
+level as (select max(l) as l from (select (whole - (select coalesce(sum(2 * size), 0) from w b where b.size / b.weight < a.size / a.weight)) / (select sum(weight) from w b where b.size / b.weight >= a.size / a.weight) as l,
+  2 * a.size / a.weight as full_at, (select coalesce(max(2 * b.size / b.weight), 0) from w b where b.size / b.weight < a.size / a.weight) as before from w a, t) where l >= before and l <= full_at)
+select source, cast(size as bigint) as source_size, round(case when l is null then 2 * size else least(2 * size, l * weight) end, 6) as target, n_docs from w, level"""
+
+
 def op5_jaccard_join(spark, sf_dir):
     return jaccard_join.join(_t(spark, sf_dir, "documents"), n=4, percent=85)
 
@@ -75,6 +89,20 @@ def op7_url_filter(spark, sf_dir):
     return url_filter.judge(_t(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
 
 
+def op7_url_rules(spark, sf_dir):
+    """The part of op7_url_filter that rules decide."""
+    rows = op7_url_filter(spark, sf_dir)
+    return rows.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("rule_verdict"))
+
+
+OP7_RULES_SQL = r"""with u as (select page_id, case when strpos(coalesce(url, ''), '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
+p as (select page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from u),
+r(rule, verdict) as (values ('org/', 'allow'), ('example.org/es/', 'block'), ('example.org/en/1', 'block'), ('com/fr/', 'allow'), ('com/de/', 'block')),
+fits as (select page_id, arg_max(rule, length(rule)) as rule, arg_max(verdict, length(rule)) as verdict
+  from p join r on (host = split_part(rule, '/', 1) or ends_with(host, '.' || split_part(rule, '/', 1))) and starts_with(path, substr(rule, strpos(rule, '/'))) group by page_id)
+select p.page_id, host, path, rule, verdict as rule_verdict from p left join fits using (page_id)"""
+
+
 def op8_toxicity(spark, sf_dir):
     docs = _t(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, _t(spark, sf_dir, "labels").filter(~toxicity.held_out()))
@@ -136,6 +164,8 @@ _QUERIES = {
     "op8_toxicity": (op8_toxicity, None),
     "op3_sharding": (op3_sharding, OP3_SQL),
     "op4_mixing": (op4_mixing, None),
+    "op4_source_targets": (op4_source_targets, OP4_TARGETS_SQL),
+    "op7_url_rules": (op7_url_rules, OP7_RULES_SQL),
     "op5_jaccard_join": (op5_jaccard_join, OP5_SQL),
     "op9_quality_rules": (op9_quality_rules, OP9_SQL),
     "op10_decontaminate": (op10_decontaminate, OP10_SQL),

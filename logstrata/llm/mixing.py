@@ -16,11 +16,16 @@ ids and sizes, by (source, shard); a shard holds about ``shard_words`` words, so
 a source with a third of all rows is many shards. Ranking a source's shards is
 one task's work on a row per shard. Raise ``shard_words`` with the data.
 
+A block has ``block_words`` words, or a thousandth of the smallest target where
+that is less, so that a small source's share isn't lost in rounding; 1 at least.
+It decides where runs of words are cut, not how many are taken.
+
 Null and empty texts have size 0: they are never taken and stay in the result.
 A null source is a source, ordered last. Sources without words have target 0.
-Repeated rows and repeated or null ids are rows like any other: ties in seeded
-order are between rows of equal id and size. An empty table gives an empty
-result. Only the id, text and source columns are read.
+Repeated rows and repeated or null ids are rows like any other: the seeded order
+is by id and text, so ties are between equal rows, and rows without an id spread
+over the shards too. Very long texts count whole. An empty table gives an empty
+result. Only the id, text, source and key columns are read.
 """
 
 from __future__ import annotations
@@ -86,14 +91,16 @@ def apportion(parties: DataFrame, votes: str, seats: Column, by: list[str], name
 
 
 def mix(docs: DataFrame, weights: Callable[[DataFrame], DataFrame], share: float = 1.5, repeats: float = 2.0, block_words: int = BLOCK_WORDS,
-        shard_words: int = SHARD_WORDS, seed: int = SEED, keep: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+        shard_words: int = SHARD_WORDS, seed: int = SEED, keep: tuple[str, ...] = (), key_col: str | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, source, size, source_size, target, shard, quota (the shard's blocks), passes, first_word, tail_words, head_words, taken, and ``keep``.
 
     taken = passes * size + tail_words + head_words: whole copies, a run of words
     from ``first_word`` on, and one from the start. Kept columns travel in
-    ``kept``, a struct.
+    ``kept``, a struct, through the shuffle; a caller with a key of each row's own
+    names it as ``key_col``, gets it as ``key``, and joins what it needs.
     """
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), *([F.struct(*keep).alias("kept")] if keep else []))
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), F.xxhash64(F.col(text_col), F.lit(seed)).alias("_text"),
+                        *([F.col(key_col).alias("key")] if key_col else []), *([F.struct(*keep).alias("kept")] if keep else []))
     small = written(sized.drop("kept"), "sizes")
     rows = sized if keep else small
     sources = written(small.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
@@ -106,9 +113,9 @@ def mix(docs: DataFrame, weights: Callable[[DataFrame], DataFrame], share: float
         "n_shards", F.greatest(F.ceil(F.col("source_size") / shard_words), F.lit(1))), "quotas")
 
     def dealt(df: DataFrame) -> DataFrame:
-        """Each row with its shard, by its id alone, so that every reading of the rows deals alike."""
+        """Each row with its shard, by its id and text, so that every reading of the rows deals alike."""
         joined = df.join(by_source, df["source"].eqNullSafe(by_source["source"])).drop(by_source["source"])
-        joined = joined.withColumn("order", F.xxhash64(F.col("doc_id"), F.lit(seed)))
+        joined = joined.withColumn("order", F.xxhash64("doc_id", "_text"))
         return joined.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), F.col("order")), F.col("n_shards")).cast("bigint"))
 
     shards = dealt(small).groupBy("source", "shard", "block", "source_blocks").agg(F.sum("size").alias("shard_size"))
@@ -129,7 +136,7 @@ def mix(docs: DataFrame, weights: Callable[[DataFrame], DataFrame], share: float
     head = F.greatest(F.least("b", "wrapped") - F.col("a"), F.lit(0))
     taken = F.col("passes") * F.col("size") + tail + head
     return at.select("doc_id", "source", "size", "source_size", "target", "shard", "quota", "passes", F.greatest(F.col("lo") - F.col("a"), F.lit(0)).alias("first_word"),
-                     tail.alias("tail_words"), head.alias("head_words"), taken.cast("bigint").alias("taken"), *(["kept"] if keep else []))
+                     tail.alias("tail_words"), head.alias("head_words"), taken.cast("bigint").alias("taken"), *(["key"] if key_col else []), *(["kept"] if keep else []))
 
 
 def words_from(text: Column, first: Column, count: Column) -> Column:

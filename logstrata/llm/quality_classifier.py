@@ -6,14 +6,17 @@
    expectation-maximisation needs for the labellers' accuracies in good documents
    and in each kind of bad ones, the kinds' shares, and each pattern's posterior.
    Kinds of their own keep labellers that never agree from being outvoted.
-3. Posteriors label a bounded sample (``FITTED_ROWS``, by a hash of the text), and
-   a linear scorer over hashed byte trigrams is trained on it.
+3. Posteriors label a bounded sample of distinct texts (``FITTED_ROWS`` or so, by a
+   hash of the text), and a linear scorer over hashed byte trigrams is trained on
+   it. What reaches the driver of a text are its trigrams' counts in ``BINS`` bins.
 4. Every whole text is scored; ``kept`` means a score of one half or more.
 
 Both passes over the texts are maps; only pattern counts are shuffled, after
 partial aggregation. Null and empty texts get the labellers' votes on nothing
-and the scorer's bias. With no documents nothing is fitted and the result is
-empty. Repeated rows score alike. Only the id and the text are read.
+and the scorer's bias. Very long texts are hashed in pieces. With no documents
+nothing is fitted and the result is empty. Repeated rows score alike and count
+once in the sample; null and repeated ids are rows like any other; a score of
+one half is kept. Only the id and the text are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from pyspark.sql import functions as F
 from logstrata.llm import hashing
 from logstrata.llm.arrow import with_columns
 from logstrata.llm.quality_rules import measure
+from logstrata.llm.sampling import drawn
 
 FITTED_ROWS = 6_000
 BINS = 2048
@@ -78,13 +82,18 @@ def bins(text: bytes):
             yield ((raw[:-2] * 2654435761 + raw[1:-1] * 40503 + raw[2:] * 2246822519) & 0xFFFFFFFF) >> 21
 
 
+def counted(text: bytes):
+    """How often each bin occurs in a text."""
+    held = np.zeros(BINS)
+    for found in bins(text):
+        held += np.bincount(found, minlength=BINS)
+    return held
+
+
 class Scorer:
-    def __init__(self, texts: list[bytes], y, rounds: int = 150, rate: float = 0.5):
-        x = np.zeros((len(texts), BINS), np.float32)
-        for i, text in enumerate(texts):
-            for found in bins(text):
-                x[i] += np.bincount(found, minlength=BINS)
-        x = np.sqrt(x / np.maximum(1, x.sum(1, keepdims=True)))
+    def __init__(self, x, y, rounds: int = 150, rate: float = 0.5):
+        """``x`` has a row of bins' counts for each text."""
+        x = np.sqrt(x / np.maximum(1, x.sum(1, keepdims=True)), dtype=np.float32)
         y = np.asarray(y, np.float32)
         weight = np.where(y >= 0.5, 0.5 / max(y.mean(), 0.05), 0.5 / max(1 - y.mean(), 0.05))
         self.w, self.b, m, s = np.zeros(BINS, np.float32), 0.0, np.zeros(BINS + 1), np.zeros(BINS + 1)
@@ -97,13 +106,22 @@ class Scorer:
             self.w, self.b = (self.w - step[:-1]).astype(np.float32), self.b - step[-1]
 
     def score(self, text: bytes) -> float:
-        held = np.zeros(BINS)
-        for found in bins(text):
-            held += np.bincount(found, minlength=BINS)
+        held = counted(text)
         z = np.sqrt(held / max(1, held.sum())) @ self.w + self.b
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
+def _sample(docs: DataFrame, share: float):
+    """(patterns, counts of bins, a row a text) of the distinct texts that a hash of them draws. A text comes as BINS numbers, however long it is."""
+    few = docs.filter(drawn(F.col("text"), share, 3)).groupBy("text").agg(F.lit(1))
+    few = votes(few.withColumn("doc_id", F.col("text")), "doc_id", "text").select(F.col("doc_id").alias("text"), "pattern")
+    few = few.withColumn("mark", F.xxhash64("text"))
+    few = with_columns(few, "bins array<float>", lambda batch: [[counted(t).astype(np.float32) for t in hashing.texts_of(batch.column("text"))]], drop=("text",))
+    rows = few.select("pattern", "bins", "mark").toArrow().sort_by("mark")  # the fit doesn't depend on the order of arrival
+    x = rows.column("bins").combine_chunks()
+    return rows.column("pattern").to_pylist(), x.flatten().to_numpy(zero_copy_only=False).reshape(-1, BINS)
+
+
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = FITTED_ROWS) -> DataFrame:
     """doc_id, posterior (of the labellers), score (the scorer's), kept."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -112,12 +130,9 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mo
     if not total:
         return docs.select("doc_id", F.lit(0.0).alias("posterior"), F.lit(0.0).alias("score"), F.lit(False).alias("kept"))
     good = posteriors(counts)
-    drawn = docs.filter(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1_000_000)) < int(min(1.0, most / total) * 1_000_000) + 1)
-    few = votes(drawn.withColumn("doc_id", F.col("text")), "doc_id", "text").select(F.col("doc_id").alias("text"), "pattern").limit(4 * most).toArrow()
-    texts, patterns = hashing.texts_of(few.column("text").combine_chunks()), few.column("pattern").to_pylist()
-    order = sorted(range(len(texts)), key=texts.__getitem__)
-    scorer = Scorer([texts[i] for i in order], [good[patterns[i]] for i in order]) if texts else None
+    patterns, x = _sample(docs, most / total)
+    scorer = Scorer(x, [good[p] for p in patterns]) if len(patterns) else None
     table = docs.sparkSession.createDataFrame(sorted(good.items()), "pattern int, posterior double")
-    scored = with_columns(docs, "score double", lambda batch: [[scorer.score(t) if scorer else 0.0 for t in hashing.texts_of(batch.column("text"))]])
-    judged = votes(scored.withColumn("doc_id", F.struct("doc_id", "score")), "doc_id", "text").join(F.broadcast(table), "pattern")
-    return judged.select("doc_id.doc_id", "posterior", "doc_id.score", (F.col("doc_id.score") >= 0.5).alias("kept"))
+    voted = votes(docs.withColumn("doc_id", F.struct("doc_id", "text")), "doc_id", "text").select("doc_id.doc_id", "doc_id.text", "pattern")
+    scored = with_columns(voted, "score double", lambda batch: [[scorer.score(t) if scorer else 0.0 for t in hashing.texts_of(batch.column("text"))]], drop=("text",))
+    return scored.join(F.broadcast(table), "pattern").select("doc_id", "posterior", "score", (F.col("score") >= 0.5).alias("kept"))
