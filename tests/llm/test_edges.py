@@ -5,8 +5,9 @@ from collections import Counter
 
 import pytest
 
-from logstrata.llm import (components, decontaminate, jaccard_join, lm_scoring, mixing, quality_classifier, quality_rules, secret_scan, sharding, toxicity,
+from logstrata.llm import (components, decontaminate, hashing, jaccard_join, lm_scoring, mixing, quality_classifier, quality_rules, secret_scan, sharding, toxicity,
                            url_filter)
+from logstrata.plans import durable
 
 BASE = " ".join(f"word{i}" for i in range(60))
 ROWS = [
@@ -116,6 +117,28 @@ def test_sharding(docs, empty):
         sharding.fill(names, 100)
 
 
+def test_sharding_table_by_turns(spark, tmp_path):
+    """The table, filled once more from whole permutations."""
+    names, slots = [f"node {i}" for i in (3, 1, 2, 0)], 97
+    order = {}
+    for name in names:
+        start, step = sharding._number(name, "offset") % slots, 1 + sharding._number(name, "skip") % (slots - 1)
+        order[name] = [(start + step * k) % slots for k in range(slots)]
+        assert sorted(order[name]) == list(range(slots))
+    owner = {}
+    while len(owner) < slots:
+        for name in sorted(names):
+            if len(owner) < slots:
+                owner[next(slot for slot in order[name] if slot not in owner)] = name
+    assert [names[i] for i in sharding.fill(names, slots)] == [owner[slot] for slot in range(slots)]
+    rows = spark.createDataFrame([(None, "n"), (0, "x"), (1, "y"), (1, "y"), (None, "m")], "doc_id bigint, text string")
+    placed = sharding.place(rows, names, slots=slots)
+    sharding.write(placed, str(tmp_path / "shards"), files_per_shard=2)
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert sorted(back.select("doc_id", "text", "slot", "shard").collect(), key=repr) == sorted(placed.collect(), key=repr)
+    assert len({r.shard for r in placed.collect() if r.doc_id is None}) == 1
+
+
 def test_quality_rules(spark, docs, empty):
     ledger = quality_rules.evaluate(docs)
     assert ledger.count() == len(ROWS) and quality_rules.evaluate(empty).count() == 0
@@ -172,23 +195,7 @@ def test_proximity_by_brute_force(spark):
     assert counted == {d: (exact[d], sum(x == d for x, _, _ in want)) for d in range(len(texts))}
 
 
-def test_lm_scoring(docs, empty):
-    got = sorted((r.doc_id, r.n_words, round(r.log_score, 6)) for r in lm_scoring.score(docs.filter("doc_id is not null")).collect())
-    texts = [(d, words(t)) for d, t, _ in ROWS if d is not None]
-    one, two = Counter(), Counter()
-    for _, w in texts:
-        one.update(w)
-        two.update(zip(w, w[1:]))
-    want = []
-    for d, w in texts:
-        mine1, mine2, total = Counter(w), Counter(zip(w, w[1:])), 0.0
-        rest = max(1, sum(one.values()) - len(w))
-        for i, x in enumerate(w):
-            alone = math.log(max(one[x] - mine1[x], 0.5) / rest)
-            seen = i and two[w[i - 1], x] - mine2[w[i - 1], x]
-            total += math.log(seen / (one[w[i - 1]] - mine1[w[i - 1]])) if seen else alone + (math.log(lm_scoring.BACKOFF) if i else 0)
-        want.append((d, len(w), round(total, 6)))
-    assert got == sorted(want)
+def test_lm_scoring_of_nothing(empty):
     assert lm_scoring.score(empty).count() == 0
 
 
@@ -216,12 +223,113 @@ def test_toxic_words_of_a_small_language():
     large = [(f"the plain text number {i} says little of note today", 0) for i in range(900)] + [(f"you are a worthless idiot number {i} and a clown", 1) for i in range(300)]
     small = [(f"una frase {i} sin nada" + " bomentera" * (i < 12), 0) for i in range(200)] + [(f"una frase {i} bomentera y bomentoso", 1) for i in range(20)]
     texts, marks = [t.encode() for t, _ in large + small], [m for _, m in large + small]
-    found = toxicity.telling(texts, marks)
-    assert b" bomen" in found and b" idiot" in found and b" frase" not in found
+    sides = [[toxicity.plain(t) for t, m in zip(texts, marks) if m == side] for side in (0, 1)]
+    found = toxicity.covering(sides[1], sides[0])
+    assert b"omente" in found and b"idiot" in found and b"frase" not in found and b"number" not in found
     toxic, plain = toxicity.Model(texts, marks).score([b"una frase 99 bomentera y bomentoso", b"una frase 99 sin nada"])
     assert toxic >= toxicity.THRESHOLD > plain
 
 
+def test_covering_by_brute_force():
+    """Every run of bytes that is worth it is in the dictionary, and each segment holds one."""
+    toxic = [f" some {w} text and {w} again {i} ".encode() for i in range(12) for w in ("grubby", "snarl")]
+    plain = [f" some other text and more again {i} ".encode() for i in range(80)]
+    grams = lambda t: {t[i : i + toxicity.GRAM] for i in range(len(t) - toxicity.GRAM + 1)}
+    worth = set()
+    for g in set().union(*map(grams, toxic)):
+        f, b = sum(g in t for t in toxic), sum(g in t for t in plain)
+        if f - toxicity.BACKGROUND * (b + 1) * len(toxic) / len(plain) - toxicity.LEAST > 0:
+            worth.add(g)
+    found = toxicity.covering(toxic, plain)
+    assert worth and all(g in found for g in worth) and b"grubby" in found and b"snarl" in found
+    assert toxicity.covering(toxic, plain, size=20) and len(toxicity.covering(toxic, plain, size=20)) < 40
+    assert toxicity.covering([], plain) == toxicity.covering([b"x"], plain) == b""
+
+
+def test_distance_is_that_of_the_compressors():
+    import zstandard
+
+    ordinary, toxic = b" the plain text says little of note " * 4, b" you worthless idiot clown "
+    distance = toxicity.Distance(ordinary, toxic)
+    assert distance(b"idiot") >= 3 and distance(b"worthless clown") >= 4 and distance(b"plain") <= 1 and distance(b"") == 0
+    for window in (b"idiot", b"plain text", b"zzqx"):
+        sizes = []
+        for content in (ordinary, ordinary + toxic):
+            held = zstandard.ZstdCompressionDict(content + toxicity.CARRIER, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            params = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_LAZY2, min_match=5, hash_log=16, chain_log=16, search_log=6, window_log=18, write_content_size=0, write_checksum=0, write_dict_id=0)
+            made = zstandard.ZstdCompressor(dict_data=held, compression_params=params)
+            sizes.append(len(made.compress(b" " + window + b" " + toxicity.CARRIER)) - len(made.compress(b"  " + toxicity.CARRIER)))
+        assert abs(distance(window) - (sizes[0] - sizes[1])) <= 1  # a precomputed dictionary may match a byte otherwise
+    assert list(toxicity.windows(b"One, two.  three four", 2)) == [b"one two", b"three four"] and list(toxicity.windows(b"", 3)) == []
+
+
+def test_one_class_and_repeated_labels(spark):
+    table = spark.createDataFrame([(1, "a b"), (2, "c d"), (2, "c d"), (None, "x")], "doc_id bigint, text string")
+    one = spark.createDataFrame([(1, 1), (2, 1)], "doc_id bigint, toxic int")
+    assert [r.score for r in toxicity.score(table, toxicity.fit(table, one)).collect()] == [1.0] * 4
+    both = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (2, None), (None, 1)], "doc_id bigint, toxic int")
+    from logstrata.llm.sampling import labelled
+
+    texts, marks = labelled(table, both, "toxic", 100)
+    assert sorted(zip(texts, marks)) == [(b"a b", 1), (b"c d", 0), (b"c d", 0)]
+    texts, _ = labelled(table, both, "toxic", 100, most_bytes=1)
+    assert len(texts) <= 3
+
+
+LONG = " ".join(f"w{i % 977}x{i % 131}" for i in range(70_000))  # more than two hashing pieces
+
+
+@pytest.mark.parametrize("n,percent", [(4, 85), (5, 80)])
+def test_texts_longer_than_a_hashing_piece(spark, n, percent):
+    assert len(LONG) > 2 * hashing.PIECE
+    cut = LONG.rsplit(" ", 200)[0]
+    rows = [(1, LONG, "a"), (2, cut, "a"), (3, "x" * (hashing.PIECE + 5) + " one two three four five", "a"), (4, BASE, "a"), (5, LONG.replace("w1x", "q1x"), "a")]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = sorted((tuple(r) for r in jaccard_join.join(table, n, percent).collect()), key=repr)
+    sets = [{tuple(w[i : i + n]) for i in range(len(w) - n + 1)} for w in (words(t) for _, t, _ in rows)]
+    want = [(d, len(s), min(rows[j][0] for j, o in enumerate(sets) if 100 * len(s & o) >= percent * len(s | o))) for (d, _, _), s in zip(rows, sets)]
+    assert got == want
+    scored = {r.doc_id: r for r in lm_scoring.score(table).collect()}
+    assert [scored[d].n_words for d, _, _ in rows] == [len(words(t)) for _, t, _ in rows] and scored[1].score > scored[4].score
+    model = toxicity.Model([b"plain words here"] * 8 + [b"some idiot here"] * 8, [0] * 8 + [1] * 8)
+    whole, last = toxicity.score(table, model).filter("doc_id = 1").first().score, toxicity.score(spark.createDataFrame([(1, LONG + " idiot" * 9000)], "doc_id bigint, text string"), model).first().score
+    assert last >= whole  # what stands behind the first pieces counts
+    assert list(toxicity.words(LONG.encode())) == [w for w in LONG.lower().encode().split()]
+    assert sum(x.sum() for x in [quality_classifier.counted(LONG.encode())]) >= len(LONG)
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_lm_scoring_of_any_order_and_input(spark, docs, tmp_path, order):
+    texts = [(d, words(t)) for d, t, _ in ROWS]
+    grams = lambda w, k: [tuple(w[i : i + k]) for i in range(len(w) - k + 1)]
+    tables = [Counter(g for _, w in texts for g in grams(w, k)) for k in range(1, order + 1)]
+    want = []
+    for d, w in texts:
+        mine, total = [Counter(grams(w, k)) for k in range(1, order + 1)], 0.0
+        rest = max(1, sum(tables[0].values()) - len(w))
+        count = lambda g: tables[len(g) - 1][g] - mine[len(g) - 1][g]  # noqa: E731, B023
+        for i in range(len(w)):
+            penalty = 0.0
+            for k in range(min(order, i + 1), 0, -1):
+                g = tuple(w[i - k + 1 : i + 1])
+                if k == 1:
+                    total += penalty + math.log(max(count(g), 0.5) / rest)
+                elif count(g) > 0:
+                    total += penalty + math.log(count(g) / count(g[:-1]))
+                    break
+                else:
+                    penalty += math.log(lm_scoring.BACKOFF)
+        want.append((d, len(w), round(total, 6)))
+    docs.write.parquet(str(tmp_path / "docs"))
+    files = spark.read.parquet(str(tmp_path / "docs"))
+    inputs = [docs, files, files.repartition(4, "doc_id"), files.orderBy("text")] if order == 3 else [files]
+    for table in inputs:
+        out = lm_scoring.score(table, order=order)
+        with durable.settings(spark, {"spark.sql.execution.arrow.maxBytesPerBatch": "4096", "spark.sql.execution.arrow.maxRecordsPerBatch": "3"}):
+            got = [(r.doc_id, r.n_words, round(r.log_score, 6)) for r in out.collect()]
+        assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def test_quality_classifier(docs, empty):
     assert quality_classifier.classify(docs).count() == len(ROWS)
     assert quality_classifier.classify(empty).count() == 0
