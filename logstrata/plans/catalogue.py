@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logstrata.functions.exprs import record_bytes
+from logstrata.functions.exprs import record_bytes, status
 from logstrata.operators import blocks, bloom, compact, lookup, lru, lww, ordered, runs
+from logstrata.plans.durable import shared_dir
 from logstrata.sources import runfile
 from logstrata.sources.tables import events_log, orders_log
+from logstrata.store import Store
 
 PER_RUN = 500
 BLOCK_BYTES = 200
@@ -16,7 +20,7 @@ GROUP = 2000  # order keys of one merge
 GROUP_BLOCK, GROUP_FILE = 8192, 262_144
 PER_FLUSH = 100  # orders of one flush
 BITS_PER_KEY, FILTER_KEYS = 10, 200
-CAPACITY, TRACE = 50, 1500
+CAPACITY, TAIL = 50, 200
 
 SEARCH = ["0", "1", "10", "100", "1000", "15", "20", "33", "5", "99", "9999", "a", ""]
 
@@ -27,7 +31,7 @@ NEWEST = """latest as (select key, op, value, seq from (select *, row_number() o
 RUNS = f"""runs as (select run_id, key, op, value, seq from (select *, row_number() over (partition by run_id, key order by seq desc) as rn
   from (select *, cast(floor(seq / {PER_RUN}) as bigint) as run_id from log)) where rn = 1)"""
 PROBES = "probes as (select cast(i as varchar) as key from range(0, (select max(user_id) + 51 from events)) t(i))"
-SIZE = "cast(17 + octet_length(key::blob) + coalesce(octet_length(value::blob), 0) as bigint)"
+SIZE = "cast(17 + strlen(key) + coalesce(strlen(value), 0) as bigint)"
 STATUS = "case when op is null then 'NOT_FOUND' when op = 1 then 'DELETED' else 'FOUND' end"
 BLOCKS = f"""sized as (select run_id, key, op, value, {SIZE} as size, row_number() over (partition by run_id order by key) as rn from runs),
 folded as (select run_id, key, op, value, size, rn, 0::bigint as block_no, 0::bigint as "offset", size as held from sized where rn = 1
@@ -122,38 +126,45 @@ def block_index(s, d):
     return blocks.block_index(_placed(s, d))
 
 
-def block_lookup(s, d):
-    probes = _probes(s, d).unionByName(_search(s)).distinct().crossJoin(s.range(2).select(F.col("id").alias("run_id")))  # two runs
-    return blocks.block_lookup(_placed(s, d).filter("run_id < 2"), probes)
+def _every_run(s, d):
+    """Each probe key in each run."""
+    asked = _probes(s, d).unionByName(_search(s)).distinct()
+    return runs.manifest(_runs(s, d)).select("run_id").crossJoin(F.broadcast(asked))  # a fixed set of probes against the runs
 
 
-def block_lookup_every_run(s, d):
-    asked = _probes(s, d).unionByName(_search(s)).distinct()
-    return blocks.block_lookup(_placed(s, d), runs.manifest(_runs(s, d)).select("run_id").crossJoin(F.broadcast(asked)))
+def block_lookup(s, d):
+    return blocks.block_lookup(_placed(s, d), _every_run(s, d))
 
 
-def merge_two_runs(s, d):
-    all_runs = _runs(s, d)
-    return _long(compact.merge_two(all_runs.filter("run_id = 0"), all_runs.filter("run_id = 1")))
+def record_at(s, d):
+    """The third record of every block that has one."""
+    placed = _placed(s, d)
+    third = placed.select("run_id", "block_no").distinct().withColumn("place", F.lit(2).cast("bigint"))
+    return _long(blocks.record_at(placed, third).select("run_id", "block_no", "key", "op", "value"))
 
 
-def _eight(s, d):
-    return _runs(s, d).filter("run_id < 8")
+def run_file_get(s, d):
+    """Probes of run files: footer, index, one block."""
+    files = runfile.encode(_runs(s, d), BLOCK_BYTES).select(F.col("run_id").cast("string").alias("path"), "content")
+    found = runfile.lookup(files, _every_run(s, d).select(F.col("run_id").cast("string").alias("path"), "key"))
+    return found.select(F.col("path").cast("bigint").alias("run_id"), "key", status(F.col("op")).alias("status"), "value")
 
 
-def compact_eight(s, d):
-    return _long(compact.merge(_eight(s, d)).select("key", "op", "value", "seq"))
+def memtable_estimate(s, d):
+    return blocks.buffer_estimate(runs.assign(events_log(s, d), PER_RUN), BLOCK_BYTES, PER_RUN * 12)
 
 
-def compaction_stats(s, d):
-    return compact.stats(_eight(s, d), compact.merge(_eight(s, d)))
+def merge_two_runs(s, d):
+    """Every odd run over the even one before it."""
+    all_runs = _runs(s, d).withColumn("pair", F.floor(F.col("run_id") / 2).cast("bigint"))
+    return _long(compact.merge_two(all_runs.filter("run_id % 2 = 0"), all_runs.filter("run_id % 2 = 1"), "pair"))
 
 
-def compact_groups(s, d):
+def compact_eight(s, d):
     return _long(compact.merge(compact.grouped(_runs(s, d)), "group_id").select("group_id", "key", "op", "value", "seq"))
 
 
-def compaction_group_stats(s, d):
+def compaction_stats(s, d):
     return compact.group_stats(_runs(s, d))
 
 
@@ -191,16 +202,24 @@ def bloom_fpr(s, d):
         F.count_if(~F.col("may_exist") & is_live).alias("false_negatives"))
 
 
-def _trace(s, d):
-    return events_log(s, d).filter(F.col("seq") < TRACE).select("seq", "key")
+def bloom_persisted(s, d):
+    """Filters of each half of the keys, stored, read back, united and probed."""
+    live = snapshot(s, d)
+    halves = [live.filter(F.crc32("key") % 2 == i) for i in (0, 1)]
+    stored = []
+    for keys in halves:
+        path = f"{shared_dir(s)}/filter-{uuid.uuid4().hex}"
+        bloom.save(bloom.build(keys, BITS), path)
+        stored.append(bloom.load(s, path))
+    return bloom.probe_stored(bloom.union(*stored), _probes(s, d), BITS)
 
 
 def lru_hits(s, d):
-    return lru.hits(_trace(s, d), CAPACITY)
+    return lru.hits(events_log(s, d).select("seq", "key"), CAPACITY)
 
 
-def lru_hits_whole_log(s, d):
-    return lru.hits(events_log(s, d).select("seq", "key"), CAPACITY)
+def lru_size(s, d):
+    return lru.size(events_log(s, d).select("seq", "key"), CAPACITY)
 
 
 def lru_contents(s, d):
@@ -213,10 +232,38 @@ def wal_replay(s, d):
     return runs.replay(published, tail).filter("op = 0").select("key", "value")
 
 
+def _tail(s, d):
+    """A new store with all but the last TAIL mutations as a batch, and those, in order."""
+    log = events_log(s, d)
+    first = log.agg(F.max("seq")).first()[0] - TAIL + 1
+    store = Store(s, f"{shared_dir(s)}/store-{uuid.uuid4().hex}")
+    store.write(log.filter(F.col("seq") < first))
+    return store, log.filter(F.col("seq") >= first).orderBy("seq").collect()
+
+
+def wal_append(s, d):
+    """The last mutations as they stand in the log files, from a store that was never closed."""
+    store, tail = _tail(s, d)
+    for r in tail:
+        store.delete(r.key) if r.op else store.add(r.key, r.value)
+    found = runfile.read_log(s, f"{store.path}/log")
+    return _long(found.select(F.col("place").alias("place"), "op", "key", "value"))
+
+
+def store_recovery(s, d):
+    """What a second store finds after one that was never closed."""
+    store, tail = _tail(s, d)
+    for r in tail:
+        store.delete(r.key) if r.op else store.add(r.key, r.value)
+    return Store(s, store.path).snapshot()
+
+
 def gc_candidates(s, d):
+    """Runs of full groups are merged away; every third is still read."""
     tag = F.concat(F.lit("0:"), F.col("run_id").cast("string")).alias("tag")
     listed = runs.manifest(_runs(s, d)).select("run_id", tag)
-    return runs.collectable(listed.filter("run_id < 8"), listed.filter("run_id % 3 = 0")).select("tag")
+    full = compact.grouped(listed).groupBy("group_id").agg(F.count("*").alias("n")).filter(F.col("n") == compact.FAN_IN)
+    return runs.collectable(compact.grouped(listed).join(full, "group_id", "left_semi"), listed.filter("run_id % 3 = 0")).select("tag")
 
 
 def record_sizes(s, d):
@@ -262,7 +309,6 @@ files as (select run_id, block_no, 0::bigint as file_no, 24 + cost as held, size
   case when f.held >= {GROUP_FILE} then 24 + b.cost else f.held + b.cost end, b.size, b.n from files f join blocks b on b.run_id = f.run_id and b.block_no = f.block_no + 1)"""
 
 _ASKED = "asked as (select distinct key from (select key from probes union all select key from search)), pr as (select key, run_id from asked, (select distinct run_id from runs))"
-_ALL_PROBES = f"asked as (select distinct key from (select key from probes union all select key from search)), pr as (select key, r as run_id from asked, range(0, 2) t(r))"
 
 CATALOGUE = {
     "kv_snapshot": (snapshot, _with(LOG, NEWEST, _SNAP)),
@@ -278,19 +324,24 @@ CATALOGUE = {
     "kv_run_manifest": (run_manifest, _with(LOG, RUNS, f"select run_id, count(*) as n_records, cast(sum({SIZE}) as bigint) as bytes, min(key) as min_key, max(key) as max_key from runs group by run_id")),
     "kv_block_layout": (block_layout, _with(LOG, RUNS, BLOCKS, 'select run_id, key, block_no, "offset", size from folded', recursive=True)),
     "kv_block_index": (block_index, _with(LOG, RUNS, BLOCKS, INDEX, 'select run_id, block_no, first_key, last_key, "offset", size, n_records from idx', recursive=True)),
-    "kv_block_lookup": (block_lookup, _with(LOG, RUNS, BLOCKS, INDEX, PROBES, SEARCH_SQL, _ALL_PROBES,
+    "kv_block_lookup": (block_lookup, _with(LOG, RUNS, BLOCKS, INDEX, PROBES, SEARCH_SQL, _ASKED,
         f"select p.run_id, p.key, (select min(block_no) from idx where idx.run_id = p.run_id and idx.last_key >= p.key) as block_no, {STATUS} as status, f.value from pr p left join folded f on f.run_id = p.run_id and f.key = p.key", recursive=True)),
-    "kv_block_lookup_every_run": (block_lookup_every_run, _with(LOG, RUNS, BLOCKS, INDEX, PROBES, SEARCH_SQL, _ASKED,
-        f"select p.run_id, p.key, (select min(block_no) from idx where idx.run_id = p.run_id and idx.last_key >= p.key) as block_no, {STATUS} as status, f.value from pr p left join folded f on f.run_id = p.run_id and f.key = p.key", recursive=True)),
-    "kv_merge_two_runs": (merge_two_runs, _with(LOG, RUNS, """select coalesce(n.key, o.key) as key, cast(case when n.key is not null then n.op else o.op end as bigint) as op,
+    "kv_record_at": (record_at, _with(LOG, RUNS, BLOCKS, "select run_id, block_no, key, cast(op as bigint) as op, value from (select *, row_number() over (partition by run_id, block_no order by key) as place from folded) where place = 3", recursive=True)),
+    "kv_run_file_get": (run_file_get, _with(LOG, RUNS, PROBES, SEARCH_SQL, _ASKED, f"select p.run_id, p.key, {STATUS} as status, r.value from pr p left join runs r on r.run_id = p.run_id and r.key = p.key")),
+    "kv_memtable_estimate": (memtable_estimate, _with(LOG, f"""new as (select cast(floor(seq / {PER_RUN}) as bigint) as run_id, key, min(seq) as seq, arg_min(coalesce(value, ''), seq) as value from log group by all),
+      sized as (select run_id, {SIZE} as size, 32 + strlen(key) as entry, row_number() over (partition by run_id order by seq) as rn from new),
+      folded as (select run_id, rn, size as held, 24::bigint as estimate, 0::bigint as n_blocks, entry from sized where rn = 1
+        union all select s.run_id, s.rn, case when f.held >= {BLOCK_BYTES} then s.size else f.held + s.size end, case when f.held >= {BLOCK_BYTES} then f.estimate + f.held + f.entry else f.estimate end,
+          case when f.held >= {BLOCK_BYTES} then f.n_blocks + 1 else f.n_blocks end, s.entry from folded f join sized s on s.run_id = f.run_id and s.rn = f.rn + 1),
+      done as (select run_id, rn as n_new, case when held >= {BLOCK_BYTES} then n_blocks + 1 else n_blocks end as n_blocks, cast(case when held >= {BLOCK_BYTES} then estimate + held + entry else estimate end as bigint) as estimate
+        from (select *, max(rn) over (partition by run_id) as last_rn from folded) where rn = last_rn)""",
+        f"select run_id, n_new, n_blocks, estimate, estimate >= {PER_RUN * 12} as full from done", recursive=True)),
+    "kv_merge_two_runs": (merge_two_runs, _with(LOG, RUNS, """p as (select *, cast(floor(run_id / 2) as bigint) as pair from runs)""", """select coalesce(n.pair, o.pair) as pair, coalesce(n.key, o.key) as key, cast(case when n.key is not null then n.op else o.op end as bigint) as op,
       case when n.key is not null then n.value else o.value end as value, case when n.key is null then 'older' when o.key is null then 'newer' else 'both' end as source
-      from (select * from runs where run_id = 0) o full outer join (select * from runs where run_id = 1) n on o.key = n.key""")),
-    "kv_compact_eight": (compact_eight, _with(LOG, RUNS, "select key, cast(op as bigint) as op, value, seq from (select *, row_number() over (partition by key order by seq desc) as rn from runs where run_id < 8) where rn = 1")),
-    "kv_compaction_stats": (compaction_stats, _with(LOG, RUNS, "m as (select key, arg_max(op, seq) as op, count(*) as n from runs where run_id < 8 group by key)",
-        "select cast(sum(n) as bigint) as input_records, count(*) as output_records, cast(sum(n) - count(*) as bigint) as overwritten, count(*) filter (op = 1) as tombstones from m")),
-    "kv_compact_groups": (compact_groups, _with(LOG, RUNS, f"""select group_id, key, cast(op as bigint) as op, value, seq from (select *, row_number() over (partition by group_id, key order by seq desc) as rn
+      from (select * from p where run_id % 2 = 0) o full outer join (select * from p where run_id % 2 = 1) n on o.key = n.key and o.pair = n.pair""")),
+    "kv_compact_eight": (compact_eight, _with(LOG, RUNS, f"""select group_id, key, cast(op as bigint) as op, value, seq from (select *, row_number() over (partition by group_id, key order by seq desc) as rn
       from (select *, cast(floor(run_id / {compact.FAN_IN}) as bigint) as group_id from (select run_id, key, op, value, seq from runs))) where rn = 1""")),
-    "kv_compaction_group_stats": (compaction_group_stats, _with(LOG, RUNS,
+    "kv_compaction_stats": (compaction_stats, _with(LOG, RUNS,
         f"m as (select cast(floor(run_id / {compact.FAN_IN}) as bigint) as group_id, key, arg_max(op, seq) as op, count(*) as n from runs group by all)",
         "select group_id, cast(sum(n) as bigint) as input_records, count(*) as output_records, cast(sum(n) - count(*) as bigint) as overwritten, count(*) filter (op = 1) as tombstones from m group by group_id")),
     "kv_level_state": (level_state, _level_sql()),
@@ -300,13 +351,16 @@ CATALOGUE = {
     "kv_bloom_probe": (bloom_probe, _with(LOG, NEWEST, PROBES, LIVE_BITS, MAY, "select key, may_exist from may")),
     "kv_bloom_fpr": (bloom_fpr, _with(LOG, NEWEST, PROBES, LIVE_BITS, MAY, """select count(*) as probes, count(*) filter (may_exist and l.key is null) as false_positives,
       count(*) filter (not may_exist and l.key is not null) as false_negatives from may left join (select key from latest where op = 0) l on may.key = l.key""")),
-    "kv_lru_hits": (lru_hits, f"""with t as (select event_id as seq, cast(user_id as varchar) as key, lag(event_id) over (partition by user_id order by event_id) as prev from events where event_id < {TRACE})
-      select seq, key, prev is not null and (select count(distinct u.key) from t u where u.seq > t.prev and u.seq < t.seq) < {CAPACITY} as hit from t"""),
-    "kv_lru_hits_whole_log": (lru_hits_whole_log, f"""with t as (select event_id as seq, cast(user_id as varchar) as key, lag(event_id) over (partition by user_id order by event_id) as prev from events)
+    "kv_bloom_persisted": (bloom_persisted, _with(LOG, NEWEST, PROBES, LIVE_BITS, MAY, "select key, may_exist from may")),
+    "kv_lru_hits": (lru_hits, f"""with t as (select event_id as seq, cast(user_id as varchar) as key, lag(event_id) over (partition by user_id order by event_id) as prev from events)
       select seq, key, prev is not null and (select count(distinct u.key) from t u where u.seq > t.prev and u.seq < t.seq) < {CAPACITY} as hit from t"""),
+    "kv_lru_size": (lru_size, f"select count(*) as accesses, count(distinct user_id) as keys, least(count(distinct user_id), {CAPACITY}) as size from events"),
     "kv_lru_contents": (lru_contents, f"select cast(user_id as varchar) as key, max(event_id) as last_seq from events group by user_id order by last_seq desc limit {CAPACITY}"),
     "kv_wal_replay": (wal_replay, _with(LOG, NEWEST, _SNAP)),
-    "kv_gc_candidates": (gc_candidates, f"select distinct '0:' || cast(cast(floor(event_id / {PER_RUN}) as bigint) as varchar) as tag from events where floor(event_id / {PER_RUN}) < 8 and cast(floor(event_id / {PER_RUN}) as bigint) % 3 <> 0"),
+    "kv_wal_append": (wal_append, _with(LOG, f"select row_number() over (order by seq) - 1 as place, cast(op as bigint) as op, key, value from log where seq > (select max(seq) - {TAIL} from log)")),
+    "kv_store_recovery": (store_recovery, _with(LOG, NEWEST, _SNAP)),
+    "kv_gc_candidates": (gc_candidates, _with(f"r as (select distinct cast(floor(event_id / {PER_RUN}) as bigint) as run_id from events)", f"g as (select run_id, count(*) over (partition by run_id // {compact.FAN_IN}) as n from r)",
+        f"select '0:' || cast(run_id as varchar) as tag from g where n = {compact.FAN_IN} and run_id % 3 <> 0")),
     "kv_record_sizes": (record_sizes, _with(LOG, RUNS, f"select run_id, count(*) as n, cast(sum({SIZE}) as bigint) as bytes, min({SIZE}) as least, max({SIZE}) as most, count(*) filter (op = 1) as tombstones from runs group by run_id")),
     "kv_write_amplification": (write_amplification, _with(LOG, RUNS, f"""select 'log' as stage, cast(sum({SIZE}) as bigint) as bytes from log union all select 'level 0', cast(sum({SIZE}) as bigint) from runs
       union all select 'level 1', cast(sum({SIZE}) as bigint) from (select *, row_number() over (partition by floor(run_id / 8), key order by seq desc) as rn from runs) where rn = 1""")),

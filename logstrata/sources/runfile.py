@@ -11,6 +11,7 @@ reaches; a file is one row, decoded in Arrow batches. A damaged file raises.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from struct import Struct, error
 
@@ -26,15 +27,15 @@ def record(op: int, key: bytes, value: bytes | None) -> bytes:
     return bytes([op]) + U64.pack(len(key)) + key + U64.pack(len(value)) + value
 
 
-def records(data: bytes, at: int = 0, end: int | None = None) -> Iterator[tuple[int, bytes, bytes | None]]:
-    """(op, key, value) of each record; a tombstone's value is null."""
+def records(data: bytes, at: int = 0, end: int | None = None, cut: bool = False) -> Iterator[tuple[int, bytes, bytes | None]]:
+    """(op, key, value) of each record; a tombstone's value is null. With ``cut``, a last record that isn't whole ends them, as a crash leaves it."""
     end = len(data) if end is None else end
 
     def piece(at):
         start = at + 8
         stop = start + U64.unpack_from(data, at)[0]
         if stop > end:
-            raise ValueError(f"a length at byte {at} runs past the data")
+            raise error(f"a length at byte {at} runs past the data")
         return data[start:stop], stop
 
     try:
@@ -44,7 +45,8 @@ def records(data: bytes, at: int = 0, end: int | None = None) -> Iterator[tuple[
             value, at = piece(at)
             yield op, key, None if op == 1 else value
     except error as e:
-        raise ValueError("the last record is cut") from e
+        if not cut:
+            raise ValueError(f"the last record is cut: {e}") from e
 
 
 def encoded(rows: list[tuple[int, bytes, bytes | None]], first_id: int = 0, block_bytes: int = BLOCK_BYTES) -> bytes:
@@ -132,3 +134,32 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     return decode_log(spark.read.format("binaryFile").load(path))
+
+
+def get(run: bytes, key: bytes, index: list | None = None) -> tuple[int, bytes | None] | None:
+    """(op, value) of a key in a run, or None. Footer and index tell the one block that can hold it; no other is decoded."""
+    index = index_of(run) if index is None else index
+    at = bisect_left(index, key, key=lambda entry: entry[1])
+    if at == len(index):
+        return None
+    _, _, offset, size = index[at]
+    return next(((op, value) for op, found, value in records(run, offset, offset + size) if found == key), None)
+
+
+def lookup(files: DataFrame, probes: DataFrame) -> DataFrame:
+    """(path, key, op, value) of each probe (path, key) of run files (path, content); op is null where the run hasn't the key.
+
+    Probes meet their file; its index is read once, and then one block a probe.
+    """
+    def one(held, asked):
+        import pyarrow as pa
+
+        rows = []
+        for content in held.column("content").to_pylist():
+            index = index_of(content)
+            for path, key in zip(asked.column("path").to_pylist(), asked.column("key").to_pylist()):
+                op, value = get(content, key.encode(), index) or (None, None)
+                rows.append((path, key, op, None if value is None else value.decode()))
+        return pa.table({c: pa.array([r[i] for r in rows], t) for i, (c, t) in enumerate((("path", pa.string()), ("key", pa.string()), ("op", pa.int8()), ("value", pa.string())))})
+
+    return files.select("path", "content").groupBy("path").cogroup(probes.select("path", "key").groupBy("path")).applyInArrow(one, "path string, key string, op tinyint, value string")
