@@ -1,6 +1,9 @@
 """Nulls, empty and repeated rows, ties, empty tables and clashing columns; brute force where SQL has no say."""
 
+import base64
+import hashlib
 import math
+import re
 from collections import Counter
 
 import pytest
@@ -205,6 +208,70 @@ def test_secret_scan(docs, empty):
     assert secret_scan.scan(empty).count() == 0
 
 
+def test_secret_candidates_by_brute_force(spark):
+    """Pieces, their neighbours and their features, made again in Python."""
+    texts = ['{"api_key":"abcd1234efgh5678"}', "password = hunter see 12345", "Password: letmeinplease end", "see src/lib/module07/index.html now", "https://x.io/a?token=Zz9Yy8Xx7Ww6Vv5Uu4&u=1",
+             "mail some.body77@mail7.example.com. thanks", "a AUTH 'ab-CD_12.34' b", "plain words only", "", None, "x" * 300_000 + "1 token"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    want = set()
+    for d, text in enumerate(texts):
+        w = (text or "").split()
+        for i, raw in enumerate(w):
+            pieces = re.findall(secret_scan.PIECE, raw)
+            seen = w[max(0, i - 2) : i] + pieces
+            skip = len(w[max(0, i - 2) : i])
+            for k, piece in enumerate(pieces):
+                c = re.sub(r"^[.\-/_~]+|[.\-/_~]+$", "", piece)
+                before = seen[skip + k - 1] if skip + k >= 1 else None
+                before2 = seen[skip + k - 2] if skip + k >= 2 else None
+                told = any(re.search(secret_scan.ANNOUNCING, x) for x in (before, before2) if x)
+                if len(c) >= 16 and re.search("[0-9]", c) or len(c) >= 6 and told and not re.search(secret_scan.ANNOUNCING, c):
+                    want.add((d, i, c, before, before2))
+    found = secret_scan.candidates(docs)
+    rows = found.collect()
+    assert {(r.doc_id, r.position, r.candidate, r.before, r.before2) for r in rows} == want
+    assert {"abcd1234efgh5678", "hunter", "letmeinplease", "Zz9Yy8Xx7Ww6Vv5Uu4", "ab-CD_12.34"} <= {c for _, _, c, _, _ in want}
+    known = secret_scan.Words(spark.createDataFrame([(i, "water under bridge waters") for i in range(3)] + [(9, None)], "doc_id bigint, text string"))
+    assert set(known.parts) == {"wate", "unde", "brid", "ater", "nder", "idge", "ters"}
+    pairs = Counter(a + b for part, n in (("wate", 6), ("unde", 3), ("brid", 3), ("ater", 3), ("nder", 3), ("idge", 3), ("ters", 3)) for a, b in zip(part, part[1:]) for _ in range(n))
+    rate = lambda a, b: math.log2(sum(pairs[a + x] + 1 for x in "abcdefghijklmnopqrstuvwxyz") / (pairs[a + b] + 1))
+    assert math.isclose(known.surprise["wa"], rate("w", "a")) and math.isclose(known.surprise["qz"], rate("q", "z"))
+    for r in secret_scan.with_features(found, known).collect():
+        c, size = r.candidate, len(r.candidate)
+        if size > 1000:
+            continue
+        steps = [rate(a, b) if (a + b).isascii() and (a + b).isalpha() else math.log2(26) for a, b in zip(c.lower(), c.lower()[1:])]
+        kind = lambda x: "0" if x.isdigit() else "A" if x.isupper() else "a" if x.islower() else "."
+        changes = sum(kind(a) != kind(b) and "." not in kind(a) + kind(b) for a, b in zip(c, c[1:]))
+        want_features = {"length": size, "digits": sum(map(str.isdigit, c)) / size, "uppers": sum(map(str.isupper, c)) / size, "lowers": sum(map(str.islower, c)) / size, "changes": changes / size,
+                         "surprise": sum(steps) / (size - 1), "distinct": len(set(c)) / min(size, 64), "covered": (size - len(re.sub("|".join(known.parts), "", c.lower()))) / size,
+                         "hexadecimal": bool(re.fullmatch("[0-9a-f]+|[0-9A-F]+", c)), "dots": c.count(".") / size, "slashes": c.count("/") / size, "dashes": sum(x in "-_" for x in c) / size, "at": "@" in c,
+                         "announced": any(re.search(secret_scan.ANNOUNCING, x) for x in (r.before, r.before2) if x)}
+        for name, value in want_features.items():
+            assert math.isclose(r[name], float(value), abs_tol=1e-9), (name, c)
+
+
+def test_secrets_of_formats_that_were_not_learned(spark):
+    """Findings of held-out formats and contexts against look-alikes that the corpus holds: precision and recall."""
+    d = "/root/testdata/sf0.01"
+    corpus = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+    digest = lambda i, n: hashlib.sha512(f"held out {i}".encode()).hexdigest()[:n]
+    mixed = lambda i, n: base64.b64encode(hashlib.sha512(f"held {i}".encode()).digest()).decode().replace("+", "A").replace("/", "b")[:n]
+    made = [f"config glpat-{mixed(i, 20)} stays" for i in range(20)] + [f"the secret: '{mixed(i, 18)}' of it" for i in range(20)] + [f"auth = npm_{mixed(i, 36)};" for i in range(20)] + [f"token={digest(i, 48)}" for i in range(20)]
+    rows = corpus.unionByName(spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(made)], "doc_id bigint, text string"))
+    labelled = secret_scan.findings(corpus, secret_scan.candidates(corpus))  # made before the planted ones are seen
+    found = secret_scan.scan(rows, labelled).collect()
+    caught = {r.doc_id for r in found if r.secret and r.doc_id >= 10**6}
+    own = [r for r in found if r.doc_id < 10**6]
+    planted = {r.doc_id for r in corpus.filter("text rlike '(?i)token = .[0-9a-f]{40}'").collect()}
+    assert len(caught) >= 0.9 * len(made)
+    assert planted and len(planted & {r.doc_id for r in own if r.secret}) >= 0.9 * len(planted)
+    wrong = [r for r in own if r.secret and not re.fullmatch("(?i)[0-9a-f]{40}", r.candidate)]
+    assert len(wrong) <= 0.1 * len(planted)
+    twice = rows.filter(f"doc_id = {10**6 + 20}")
+    assert secret_scan.candidates(twice.unionByName(twice)).count() == 2  # repeated rows, repeated findings
+
+
 def test_toxicity(spark, docs, empty):
     ordinary = [f"the plain text number {i} says little of note today" for i in range(60)]
     toxic = [f"you are a worthless idiot number {i} and a clown" for i in range(30)]
@@ -330,8 +397,51 @@ def test_lm_scoring_of_any_order_and_input(spark, docs, tmp_path, order):
         assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
-def test_quality_classifier(docs, empty):
-    assert quality_classifier.classify(docs).count() == len(ROWS)
+def test_posteriors_by_brute_force():
+    """Expectation-maximisation over the documents one by one, against that over counts of patterns."""
+    import random
+
+    import numpy as np
+
+    draw, m = random.Random(4), len(quality_classifier.LABELLERS)
+    docs_ = []
+    for _ in range(400):
+        good = draw.random() < 0.8
+        docs_.append([draw.choices((0, 1, 2), (1, 2, 20) if good else (10, 4, 3))[0] for _ in range(m)])
+    codes = [sum(v * 3**i for i, v in enumerate(votes)) for votes in docs_]
+    held = []
+    for votes in docs_:
+        row = [1.0 if 0 not in votes else 0.05] + [float(v == 0) + 1e-3 for v in votes]
+        held.append([x / sum(row) for x in row])
+    for _ in range(200):
+        share = [max(sum(h[c] for h in held) / len(held), 1e-6) for c in range(m + 1)]
+        table = [[[sum(h[c] for h, v in zip(held, docs_) if v[i] == k) + 0.5 for k in range(3)] for i in range(m)] for c in range(m + 1)]
+        table = [[[x / sum(row) for x in row] for row in rows] for rows in table]
+        new = []
+        for votes in docs_:
+            row = [share[c] * math.prod(table[c][i][v] for i, v in enumerate(votes)) for c in range(m + 1)]
+            new.append([x / sum(row) for x in row])
+        moved = max(abs(a - b) for x, y in zip(held, new) for a, b in zip(x, y))
+        held = new
+        if moved < 1e-9:
+            break
+    got = quality_classifier.posteriors(Counter(codes))
+    assert all(np.isclose(got[code], h[0], atol=1e-5) for code, h in zip(codes, held))
+
+
+def test_quality_classifier(spark, docs, empty):
+    rows = quality_classifier.classify(docs).collect()
+    assert len(rows) == len(ROWS) and sorted((r.doc_id for r in rows), key=repr) == sorted((r[0] for r in ROWS), key=repr)
+    scores = {}
+    for r in rows:
+        scores.setdefault(r.doc_id, set()).add((r.posterior, r.score, r.kept))
+        assert r.kept == (r.score >= 0.5) and 0 <= r.posterior <= 1
+    assert len(scores[7]) == 1 and scores[4] == scores[5] and scores[1] == scores[3]  # repeated rows; null is as empty
+    d = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    kept = {r.doc_id: r.kept for r in quality_classifier.classify(spark.read.parquet(f"{d}/documents.parquet")).collect()}
+    good, bad = [i for i, q in labels.items() if q], [i for i, q in labels.items() if not q]
+    assert sum(kept[i] for i in good) >= 0.97 * len(good) and sum(not kept[i] for i in bad) >= 0.8 * len(bad)
     assert quality_classifier.classify(empty).count() == 0
 
 
@@ -345,3 +455,72 @@ def test_url_filter(spark):
     assert got[3][2:] == ("com/fr/", "allow") and got[4] == ("", "", None, "allow") and got[5] == ("", "", None, "allow")
     assert got[6][2:] == ("com/de/", "block") and got[7][2:] == ("example.org/en/1", "block") and got[8][2:] == ("org/", "allow")
     assert url_filter.judge(rows.limit(0), rules).count() == 0
+
+
+def test_markov_models_by_brute_force():
+    accepted, rejected = ["a.org/en/1", "a.org/en/2", "b.org/x"], ["c.com/de/1", "c.com/de/2"]
+    model = url_filter.Model(accepted, rejected)
+
+    def rate(texts, text, order):
+        marked, total = "\x02" * order + text + "\x03", 0.0
+        for i in range(order, len(marked)):
+            p = 1 / 65_536
+            for k in range(order + 1):
+                context = marked[i - k : i]
+                follow = Counter(t[j + k] for t in ("\x02" * order + x + "\x03" for x in texts) for j in range(order - k, len(t) - k) if t[j : j + k] == context)
+                if not follow:
+                    break
+                p = (follow[marked[i]] + len(follow) * p) / (sum(follow.values()) + len(follow))
+            total += math.log(p)
+        return total / (len(text) + 1)
+
+    for text in ("a.org/en/3", "c.com/de/3", "zz", "é"):
+        want = rate(accepted, text, url_filter.ORDER) - rate(rejected, text, url_filter.ORDER)
+        assert math.isclose(model.difference(text), want, rel_tol=1e-9)
+    assert model.judge("a.org/en/77")[1] == "allow" and model.judge("c.com/de/77")[1] == "block" and url_filter.Model(accepted, []).judge("c.com")[1] == "allow"
+
+
+def test_urls_that_repeat_clash_or_tie(spark):
+    rules = (("org/a", "allow"), ("org/b", "allow"), ("x.org/a", "block"), ("org/a", "block"))
+    rows = spark.createDataFrame([(1, "http://x.org/a", "h"), (1, "http://x.org/a", "h"), (2, "http://y.org/a1", "h"), (None, "http://y.org/b", "h"), (3, "http://z.net/" + "p" * 5000, "h")], "page_id bigint, url string, host string")
+    found = [(r.page_id, r.host, r.rule, r.verdict) for r in url_filter.judge(rows, rules).collect()]
+    assert found[:4] == [(1, "x.org", "x.org/a", "block")] * 2 + [(2, "y.org", "org/a", "block"), (None, "y.org", "org/b", "allow")] and found[4][:3] == (3, "z.net", None)
+
+
+def test_repeated_items(spark):
+    docs = spark.createDataFrame([(1, "one two three"), (1, "one two three"), (None, "zzz")], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(5, "two three"), (5, "two three"), (5, "one two"), (None, "one")], "item_id bigint, text string")
+    rows = [tuple(r) for r in decontaminate.report(decontaminate.Matches(docs, bench)).select("doc_id", "n_hit", "n_items", "items_sha256").collect()]
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert sorted(rows, key=repr) == sorted([(1, 3, 2, sha("5")), (1, 3, 2, sha("5")), (None, 0, 0, sha(""))], key=repr)
+
+
+def test_mixing_over_many_shards(spark):
+    """Quotas of shards by highest quotients, seat by seat, and rings of blocks that wrap."""
+    rows = [(i if i % 5 else None, " ".join(["w"] * (i % 40)), "abc"[i % 7 % 3]) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    out = mixing.mix(docs, mixing.cycled((3, 1, 2)), block_words=8, shard_words=300).collect()
+    assert len(out) == len(rows) and len({(r.source, r.shard) for r in out}) > 10
+    assert max(Counter((r.source, r.shard) for r in out if r.doc_id is None).values()) < 30  # rows without an id spread
+    targets = {r.source: r.target for r in out}
+    block = max(1, min(8, int(min(t for t in targets.values() if t) / 1000)))
+    seats = Counter()
+    for _ in range(round(sum(targets.values()) / block)):
+        best = max(targets, key=lambda s: (targets[s] / (2 * seats[s] + 1), -ord(s)))
+        seats[best] += 1
+    for source in targets:
+        shards = {}
+        for r in out:
+            if r.source == source:
+                shards.setdefault(r.shard, []).append(r)
+        sizes, quota = {k: sum(r.size for r in v) for k, v in shards.items()}, Counter()
+        for _ in range(seats[source]):
+            best = max(sizes, key=lambda k: (sizes[k] / (2 * quota[k] + 1), -k))  # noqa: B023
+            quota[best] += 1
+        for k, members in shards.items():
+            ring = -(-sizes[k] // block)
+            assert {r.quota for r in members} == {min(quota[k], 2 * ring)}
+            whole, rest = divmod(min(quota[k], 2 * ring), max(ring, 1))
+            taken = sum(r.taken for r in members)
+            assert whole * sizes[k] + max(0, rest * block - block) <= taken <= whole * sizes[k] + rest * block
+        assert all(0 <= r.tail_words + r.head_words <= r.size and r.taken <= 2 * r.size for v in shards.values() for r in v)
