@@ -23,8 +23,8 @@ It decides where runs of words are cut, not how many are taken.
 Null and empty texts have size 0: they are never taken and stay in the result.
 A null source is a source, ordered last. Sources without words have target 0.
 Repeated rows and repeated or null ids are rows like any other: the seeded order
-is by id and text, so ties are between equal rows, and rows without an id spread
-over the shards too. Very long texts count whole. An empty table gives an empty
+is by id and text, so ties are between equal rows; rows without an id spread over
+the shards too (where columns are kept, by their texts only). Very long texts count whole. An empty table gives an empty
 result. Only the id, text, source and key columns are read.
 """
 
@@ -101,6 +101,9 @@ def mix(docs: DataFrame, weights: Callable[[DataFrame], DataFrame], share: float
     """
     sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), F.xxhash64(F.col(text_col), F.lit(seed)).alias("_text"),
                         *([F.col(key_col).alias("key")] if key_col else []), *([F.struct(*keep).alias("kept")] if keep else []))
+    # Rows without an id that are equal are told apart by their place in this table, so that they spread over shards.
+    place = F.lit(None).cast("bigint") if keep else F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
+    sized = sized.withColumn("_place", place)
     small = written(sized.drop("kept"), "sizes")
     rows = sized if keep else small
     sources = written(small.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
@@ -113,9 +116,9 @@ def mix(docs: DataFrame, weights: Callable[[DataFrame], DataFrame], share: float
         "n_shards", F.greatest(F.ceil(F.col("source_size") / shard_words), F.lit(1))), "quotas")
 
     def dealt(df: DataFrame) -> DataFrame:
-        """Each row with its shard, by its id and text, so that every reading of the rows deals alike."""
+        """Each row with its shard, by what it is, so that every reading of the rows deals alike."""
         joined = df.join(by_source, df["source"].eqNullSafe(by_source["source"])).drop(by_source["source"])
-        joined = joined.withColumn("order", F.xxhash64("doc_id", "_text"))
+        joined = joined.withColumn("order", F.xxhash64("doc_id", "_text", "_place"))
         return joined.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), F.col("order")), F.col("n_shards")).cast("bigint"))
 
     shards = dealt(small).groupBy("source", "shard", "block", "source_blocks").agg(F.sum("size").alias("shard_size"))
