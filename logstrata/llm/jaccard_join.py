@@ -9,7 +9,8 @@
    of their shared shingles, a small part of the corpus.
 3. Nodes with identical prefixes and size are one group; prefix lists hold groups.
 4. First, each group's likeliest neighbours by size and likeliest hub, and the
-   members of a group with its head, are verified: linear in the lists, and
+   members of a group with its head, are verified; then each that is still
+   outside with the nearest bitmap of one list. This is linear in the lists, and
    enough to make large families of copies one component. Then every pair of a
    list that lies in two components, and fits by size, position and bitmaps of
    the members' shingles, is expanded to its members and verified. Pairs within
@@ -36,7 +37,7 @@ from logstrata.llm import hashing, slices
 from logstrata.llm.components import components
 from logstrata.plans.durable import dropped, written
 
-LONGS = 32  # of a bitmap
+COARSE, FINE = 8, 32  # longs of the two bitmaps of a set
 LIST = 512  # entries of a prefix list among which neighbours are sought together
 FAN = 256  # partners of a node that are verified in one task
 
@@ -46,10 +47,13 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def bitmap(s):
-    """Which of 64 * LONGS buckets of hashes a set has. Two sets differ in one member at least for each bucket that only one of them has."""
-    bits = np.zeros(64 * LONGS, np.uint8)
-    bits[(s % np.uint64(64 * LONGS)).astype(np.int64)] = 1
-    return np.packbits(bits).view(np.int64)
+    """Which of 64 * COARSE buckets of hashes a set has, then which of 64 * FINE. Two sets differ in one member at least for each bucket of a size that only one of them has."""
+    made = []
+    for longs in (COARSE, FINE):
+        bits = np.zeros(64 * longs, np.uint8)
+        bits[(s % np.uint64(64 * longs)).astype(np.int64)] = 1
+        made.append(np.packbits(bits).view(np.int64))
+    return np.concatenate(made)
 
 
 def _placed(cut: DataFrame, answers: DataFrame, plan: slices.Plan, n: int, percent: int) -> DataFrame:
@@ -142,9 +146,17 @@ def _may_differ(n1, n2, percent: int):
     return n1 + n2 - 2 * F.ceil(F.lit(percent) * (n1 + n2) / (100 + percent))
 
 
+def _sum(numbers):
+    return F.aggregate(numbers, F.lit(0), lambda x, y: x + y)
+
+
+def _fine(bits: str):
+    return F.slice(bits, COARSE + 1, FINE)
+
+
 def _apart(bits: str, others: str):
     """Buckets that only one of two sets has."""
-    return F.aggregate(F.zip_with(bits, others, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda x, y: x + y)
+    return _sum(F.zip_with(_fine(bits), _fine(others), lambda a, b: F.bit_count(a.bitwiseXOR(b))))
 
 
 def _likely(groups: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -175,47 +187,98 @@ def _likely(groups: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return lists, written(pairs, "pairs")
 
 
-def links(rows: DataFrame, percent: int) -> DataFrame:
-    """Enough links (u, v) between nodes to join every component; ``rows`` are those of _placed."""
-    nodes = written(rows.filter("g is not null").select("fp", "n", "g", "prefix", "shared", "bits").dropDuplicates(["fp"]), "nodes")
-    groups = nodes.select("g", "n", "prefix").dropDuplicates(["g"])
-    lists, first = _likely(groups, nodes, percent)
-    found = verified(nodes, percent, first)
-    labels = components(found)
-    placed = written(nodes.select("fp", "n", "g", "bits").join(labels, F.col("fp") == F.col("node"), "left").select("fp", "n", "g", "bits", F.coalesce("component", "fp").alias("c")), "placed")
+def _parted(nodes: DataFrame, lists: DataFrame, labels: DataFrame):
+    """Written tables of what components leave to be tried.
 
-    # Parts of groups: members that are in one component. Their bitmaps meet in "all" and "any".
-    each = range(LONGS)
-    maps = placed.groupBy("g", "c").agg(
-        F.array(*[F.bit_and(F.get("bits", F.lit(i))) for i in each]).alias("all"), F.array(*[F.bit_or(F.get("bits", F.lit(i))) for i in each]).alias("any"), F.max("n").alias("n"))
-    maps = written(maps, "maps")
-    parts = lists.select("token", "g").join(maps.select("g", "c"), "g")
+    ``placed``: nodes with their component c. ``maps``: the parts of groups, members of one component, whose bitmaps
+    meet in "all" and "any". ``open``: the parts in each list that lies in several components, with its largest one.
+    """
+    placed = written(nodes.select("fp", "n", "g", "bits").join(labels, F.col("fp") == F.col("node"), "left").select("fp", "n", "g", "bits", F.coalesce("component", "fp").alias("c")), "placed")
+    each = range(COARSE + FINE)
+    maps = written(placed.groupBy("g", "c").agg(
+        F.array(*[F.bit_and(F.get("bits", F.lit(i))) for i in each]).alias("all"), F.array(*[F.bit_or(F.get("bits", F.lit(i))) for i in each]).alias("any"),
+        F.max("n").alias("n"), F.min("fp").alias("head")), "maps")
+    parts = lists.select("token", "length", "g").join(maps.select("g", "c"), "g")
     sizes = parts.groupBy("token", "c").agg(F.count("*").alias("k"))
     mixed = sizes.groupBy("token").agg(F.max_by("c", F.struct("k", "c")).alias("largest"), F.count("*").alias("n_parts")).filter("n_parts > 1").drop("n_parts")
-    open_lists = written(parts.join(mixed, "token").join(maps, ["g", "c"]), "open")
-    side = lambda x: [F.col(c).alias(f"{c}{x}") for c in ("g", "c", "n", "all", "any")]
-    a = open_lists.filter("c != largest").select("token", *side("a"))
-    b = open_lists.select("token", *side("b"), "largest")
-    outside = lambda x, y: F.aggregate(F.zip_with(f"all{x}", f"any{y}", lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda s, t: s + t)
-    near = _fits(F.col("na"), F.col("nb"), percent) & (outside("a", "b") + outside("b", "a") <= _may_differ(F.col("na"), F.col("nb"), percent))
+    return placed, maps, written(parts.join(mixed, "token").join(maps, ["g", "c"]), "open")
+
+
+def _side(x: str) -> list:
+    return [F.col(c).alias(f"{c}{x}") for c in ("g", "c", "n", "all", "any", "head")]
+
+
+def _outside():
+    """Buckets that all members of one part have and none of the other's, both ways."""
+    one = lambda x, y: _sum(F.zip_with(_fine(f"all{x}"), _fine(f"any{y}"), lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))))
+    return one("a", "b") + one("b", "a")
+
+
+def _near(percent: int):
+    """Whether two parts may link by their sizes and bitmaps; the coarse ones, in compiled code, spare most pairs the fine."""
+    one = lambda x, y, i: F.bit_count(F.get(f"all{x}", F.lit(i)).bitwiseAND(F.bitwise_not(F.get(f"any{y}", F.lit(i)))))
+    coarse = sum((one(x, y, i) for i in range(COARSE) for x, y in ("ab", "ba")), F.lit(0))
+    most = _may_differ(F.col("na"), F.col("nb"), percent)
+    return _fits(F.col("na"), F.col("nb"), percent) & (coarse <= most) & (_outside() <= most)
+
+
+def _nearest(open_lists: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) of nodes: each part outside the largest component of its longest, or its shortest, list with the part there whose bitmap is nearest."""
+    outer = open_lists.filter("c != largest")
+    ends = outer.groupBy("g", "c").agg(F.max_by("token", F.struct("length", "token")).alias("longest"), F.min_by("token", F.struct("length", "token")).alias("shortest"))
+    asked = ends.select("g", "c", F.explode(F.array_distinct(F.array("longest", "shortest"))).alias("token"))
+    a = outer.join(asked, ["token", "g", "c"]).select("token", *_side("a"))
+    b = open_lists.select("token", *_side("b"))
+    met = a.join(b, (a["token"] == b["token"]) & (F.col("ca") != F.col("cb")) & _near(percent)).select(
+        a["token"], "heada", F.least("heada", "headb").alias("u"), F.greatest("heada", "headb").alias("v"), _outside().alias("apart"))
+    best = met.join(tried, ["u", "v"], "left_anti").groupBy("heada", "token").agg(F.min_by(F.struct("u", "v"), F.struct("apart", "u", "v")).alias("p"))
+    return best.select("p.u", "p.v").distinct()
+
+
+def linked(rows: DataFrame, percent: int) -> DataFrame:
+    """(node, component) of every node that a link joins to another; ``rows`` are those of _placed."""
+    nodes = written(rows.filter("g is not null").select("fp", "n", "g", "prefix", "shared", "bits").dropDuplicates(["fp"]), "nodes")
+    groups = nodes.select("g", "n", "prefix").dropDuplicates(["g"])
+    lists, tried = _likely(groups, nodes, percent)
+    found = verified(nodes, percent, tried)
+    labels = written(components(found), "labels")
+    tables = _parted(nodes, lists, labels)
+
+    def joined(more: DataFrame) -> DataFrame:
+        """The components so far are stars, which new links join."""
+        return written(components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)), "labels")
+
+    nearest = written(_nearest(tables[2], tried, percent), "pairs")
+    more = verified(nodes, percent, nearest)
+    if not more.isEmpty():
+        labels = joined(more)
+        dropped(*tables)
+        tables = _parted(nodes, lists, labels)
+    placed, maps, open_lists = tables
+    tried = tried.unionByName(nearest)
+
+    a = open_lists.filter("c != largest").select("token", *_side("a"))
+    b = open_lists.select("token", *_side("b"), "largest")
     once = (F.col("cb") == F.col("largest")) | (F.col("ga") < F.col("gb")) | ((F.col("ga") == F.col("gb")) & (F.col("ca") < F.col("cb")))
-    met = a.join(b, (a["token"] == b["token"]) & (F.col("ca") != F.col("cb")) & once & near)
+    met = a.join(b, (a["token"] == b["token"]) & (F.col("ca") != F.col("cb")) & once & _near(percent))
     # A pair's side depends on the list's largest component, so both directions count as one.
     swap = F.struct("ga", "ca") > F.struct("gb", "cb")
     pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x)).alias(x)
     met = met.select(pick("ga", "gb"), pick("ca", "cb"), pick("na", "nb"), pick("gb", "ga"), pick("cb", "ca"), pick("nb", "na"))
     met = met.groupBy("ga", "ca", "na", "gb", "cb", "nb").agg(F.count("*").alias("k")).filter(F.col("k") >= _met(F.col("na"), F.col("nb"), percent)).select("ga", "ca", "gb", "cb")
-    same = maps.select(*side("a")).join(maps.select(*side("b")), (F.col("ga") == F.col("gb")) & (F.col("ca") < F.col("cb")) & near).select("ga", "ca", "gb", "cb")
+    same = maps.select(*_side("a")).join(maps.select(*_side("b")), (F.col("ga") == F.col("gb")) & (F.col("ca") < F.col("cb")) & _near(percent)).select("ga", "ca", "gb", "cb")
     pairs = written(met.unionByName(same).distinct(), "parts")
     own = lambda x, y: placed.select(F.col("g").alias(f"g{x}"), F.col("c").alias(f"c{x}"), F.col("fp").alias(y), F.col("n").alias(f"n{y}"), F.col("bits").alias(f"bits{y}"))
     members = pairs.join(own("a", "u"), ["ga", "ca"])
     others = own("b", "v").withColumnsRenamed({"gb": "_g", "cb": "_c"})
     close = _apart("bitsu", "bitsv") <= _may_differ(F.col("nu"), F.col("nv"), percent)
     second = members.join(others, (F.col("gb") == F.col("_g")) & (F.col("cb") == F.col("_c")) & close).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    second = written(second.distinct().join(first, ["u", "v"], "left_anti"), "pairs")
+    second = written(second.distinct().join(tried, ["u", "v"], "left_anti"), "pairs")
     more = verified(nodes, percent, second)
-    dropped(nodes, lists, first, placed, maps, open_lists, pairs, second)
-    return found.unionByName(more)
+    if not more.isEmpty():
+        labels = joined(more)
+    dropped(nodes, lists, placed, maps, open_lists, pairs, second)
+    return labels
 
 
 def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -232,7 +295,7 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
     rows = written(_placed(cut, answers, plan, n, percent), "rows", **slices.SMALL)
     dropped(cut, answers)
     nodes = written(rows.filter("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("least")), "least")
-    labels = components(links(rows, percent))
+    labels = linked(rows, percent)
     named = nodes.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("c"))
     ids = named.groupBy("c").agg(F.min("least").alias("component_id"))
     named = named.join(ids, "c").select("fp", "component_id")
