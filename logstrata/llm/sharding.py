@@ -8,8 +8,9 @@ hash, a remainder and one look into the broadcast table: no shuffle, and a key
 of any weight costs no more than any other.
 
 The table has ``slots`` rows, a parameter, so what is broadcast never grows
-with the data. Null keys are placed as one more key; rows with equal keys share
-a shard; an empty table stays empty. Columns of the input are kept; slot and
+with the data. A null key is placed as the empty one, however many rows have it;
+rows with equal keys share a shard, whatever else they hold, and long texts
+aren't read; an empty table stays empty. Columns of the input are kept; slot and
 shard replace any of that name.
 """
 
