@@ -9,8 +9,8 @@
    of their shared shingles, a small part of the corpus.
 3. Nodes with identical prefixes and size are one group; prefix lists hold groups.
 4. First, each group's likeliest neighbours by size and likeliest hub, and the
-   members of a group with its head, are verified; then each that is still
-   outside with the nearest bitmap of one list. This is linear in the lists, and
+   members of a group with its head, are verified; then, where much is left,
+   each that is still outside with the nearest bitmap of a list. This is linear in the lists, and
    enough to make large families of copies one component. Then every pair of a
    list that lies in two components, and fits by size, position and bitmaps of
    the members' shingles, is expanded to its members and verified. Pairs within
@@ -39,6 +39,7 @@ from logstrata.plans.durable import dropped, written
 
 COARSE, FINE = 8, 32  # longs of the two bitmaps of a set
 LIST = 512  # entries of a prefix list among which neighbours are sought together
+WORTH = 32  # pairs for each entry of the lists from which on a round of nearest bitmaps spares more work than it makes; the result is the same
 FAN = 256  # partners of a node that are verified in one task
 
 
@@ -235,6 +236,12 @@ def _nearest(open_lists: DataFrame, tried: DataFrame, percent: int) -> DataFrame
     return best.select("p.u", "p.v").distinct()
 
 
+def _left(open_lists: DataFrame) -> float:
+    """How many pairs the exact step has to look at for each entry of the lists."""
+    lists = open_lists.groupBy("token").agg(F.count("*").alias("k"), F.count_if(F.col("c") != F.col("largest")).alias("outer"))
+    return lists.agg(F.coalesce(F.sum(F.col("k").cast("double") * F.col("outer")) / F.sum("k"), F.lit(0.0))).first()[0]
+
+
 def linked(rows: DataFrame, percent: int) -> DataFrame:
     """(node, component) of every node that a link joins to another; ``rows`` are those of _placed."""
     nodes = written(rows.filter("g is not null").select("fp", "n", "g", "prefix", "shared", "bits").dropDuplicates(["fp"]), "nodes")
@@ -248,14 +255,15 @@ def linked(rows: DataFrame, percent: int) -> DataFrame:
         """The components so far are stars, which new links join."""
         return written(components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)), "labels")
 
-    nearest = written(_nearest(tables[2], tried, percent), "pairs")
-    more = verified(nodes, percent, nearest)
-    if not more.isEmpty():
-        labels = joined(more)
-        dropped(*tables)
-        tables = _parted(nodes, lists, labels)
+    if _left(tables[2]) > WORTH:
+        nearest = written(_nearest(tables[2], tried, percent), "pairs")
+        more = verified(nodes, percent, nearest)
+        if not more.isEmpty():
+            labels = joined(more)
+            dropped(*tables)
+            tables = _parted(nodes, lists, labels)
+        tried = tried.unionByName(nearest)
     placed, maps, open_lists = tables
-    tried = tried.unionByName(nearest)
 
     a = open_lists.filter("c != largest").select("token", *_side("a"))
     b = open_lists.select("token", *_side("b"), "largest")

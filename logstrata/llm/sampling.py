@@ -26,6 +26,10 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int, id_col:
     rows = rows.select(id_col, "_text", "_label").toArrow()
     from logstrata.llm.hashing import texts_of
 
+    import pyarrow as pa
+
     texts, marks, names = texts_of(rows.column("_text").combine_chunks()), rows.column("_label").to_pylist(), rows.column(id_col).to_pylist()
+    del rows
+    pa.default_memory_pool().release_unused()
     order = sorted(range(len(names)), key=lambda i: (names[i], texts[i]))  # the fit doesn't depend on the order of arrival
     return [texts[i] for i in order], [int(marks[i]) for i in order]

@@ -60,7 +60,9 @@ def test_jaccard_join(docs, empty, n, percent):
     assert jaccard_join.join(empty).count() == 0
 
 
-def test_jaccard_join_of_many_copies(spark):
+@pytest.mark.parametrize("worth", [-1, 10**9])
+def test_jaccard_join_of_many_copies(spark, monkeypatch, worth):
+    monkeypatch.setattr(jaccard_join, "WORTH", worth)  # with the round of nearest bitmaps, and without
     rows = []
     for i in range(160):  # a hub and its edits: edits of edits don't link, but all link to the hub
         w = BASE.split()
