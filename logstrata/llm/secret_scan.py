@@ -3,9 +3,11 @@
 1. Candidates are pieces of words between quotes, brackets, ``=``, ``:``, ``,``
    and the like: of 16 characters or more with a digit, or, where an announcing
    word stands right before, of 6 or more of any kind.
-2. Two models of ordinary words are counted over all texts: the commonest
-   beginnings and endings of words are the dictionary, and their letters give
-   the chance of each letter after each other. Both have a fixed number of keys.
+2. Two models of ordinary words are counted over all texts, every occurrence
+   and every position of every word: the commonest runs of four letters are the
+   dictionary, and pairs of letters give the chance of each letter after each
+   other. A word is a run of letters of any script and length without a digit or
+   ``_`` beside it; runs and pairs are of a-z, whatever the case.
 3. Features are lengths, shares and changes of character classes, the mean
    surprise of letter transitions, dictionary coverage, path marks, and the
    neighbouring words.
@@ -15,8 +17,8 @@
    sample of the corpus' candidates that nothing announces. Where there is
    neither, a candidate's score is 1 if announced, else 0.
 
-Everything is expressions in the JVM; what is shuffled are counts of a fixed
-number of keys, combined in each task, and the training table. A text with many
+Everything is expressions in the JVM; what is shuffled are counts, combined in
+each task, of words and then of a fixed number of keys, and the training table. A text with many
 candidates is one row until it is exploded, so rows with hot content spread as
 rows do. Null and empty texts have no candidates; very long texts are read
 whole. Repeated rows give repeated findings, null ids are kept; an empty table
@@ -31,7 +33,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logstrata.llm.text import let, words
+from logstrata.llm.text import ascii_lower, let, words
 from logstrata.plans.durable import written
 
 LONG, SHORT = 16, 6
@@ -40,28 +42,46 @@ PARTS = 300  # of the dictionary
 FITTED_ROWS = 6_000
 #: What ends a piece, and words that announce a credential.
 PIECE = r"""[^\x20\x09-\x0D"'`=:;,&{}()\[\]<>|?!#$%*]+"""
+LETTERS = r"(?<![\p{L}\p{N}_])\p{L}{2,}+(?![\p{N}_])"  # a word of ordinary text
 ANNOUNCING = r"(?i)(token|secret|passw(or)?d|passwd|pwd|api_?key|apikey|access_?key|auth|bearer|credential|private_?key)"
 FEATURES = ("length", "digits", "uppers", "lowers", "changes", "surprise", "distinct", "covered", "hexadecimal", "dots", "slashes", "dashes", "at", "announced", "assigned", "quoted", "numbers")
 
 
 class Words:
-    """What is ordinary in a corpus: word parts, and the surprise of each letter after each other."""
+    """What is ordinary in a corpus: word parts, and the surprise of each letter after each other.
 
-    def __init__(self, docs: DataFrame, text_col: str = "text"):
-        found = F.array_distinct(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"\b[A-Za-z]{4,40}\b"), F.lit(0)))
-        ends = F.explode(F.transform(found, lambda w: F.struct(F.lower(F.substring(w, 1, 4)).alias("first"), F.lower(F.substring(w, -4, 4)).alias("last"))))
-        pairs = docs.select(ends.alias("e"))
-        parts = pairs.select(F.explode(F.array("e.first", "e.last")).alias("part")).groupBy("part").agg(F.count("*").alias("n"))  # 26 to the 4 at most
-        parts = written(parts, "parts")
+    ``whole`` counts every position of every word; else only beginnings and endings of words of 4 to 40 letters, each once a text.
+    """
+
+    def __init__(self, docs: DataFrame, text_col: str = "text", whole: bool = False):
+        text = F.coalesce(F.col(text_col), F.lit(""))
+        parts, steps = self._everywhere(docs, text) if whole else self._ends(docs, text)
         top = parts.orderBy(F.desc("n"), "part").limit(PARTS).collect()
         self.parts = [r.part for r in top]
-        steps = parts.select(F.explode(F.sequence(F.lit(1), F.lit(3))).alias("i"), "part", "n").groupBy(F.expr("substring(part, i, 2)").alias("pair")).agg(F.sum("n").alias("n"))
         counts = {r.pair: r.n for r in steps.collect()}  # 26 squared at most
         self.surprise = {}
         letters = "abcdefghijklmnopqrstuvwxyz"
         for a in letters:
-            whole = sum(counts.get(a + b, 0) + 1 for b in letters)
-            self.surprise |= {a + b: math.log2(whole / (counts.get(a + b, 0) + 1)) for b in letters}
+            total = sum(counts.get(a + b, 0) + 1 for b in letters)
+            self.surprise |= {a + b: math.log2(total / (counts.get(a + b, 0) + 1)) for b in letters}
+
+    @staticmethod
+    def _everywhere(docs: DataFrame, text: Column) -> tuple[DataFrame, DataFrame]:
+        """Counts of the runs of four letters, and of two, at all positions of all words."""
+        found = docs.select(F.explode(F.regexp_extract_all(ascii_lower(text), F.lit(LETTERS), F.lit(0))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+        runs = lambda size: F.regexp_extract_all("word", F.lit(f"(?=([a-z]{{{size}}}))"), F.lit(1))
+        seen = found.select(F.explode(F.concat(runs(4), runs(2))).alias("part"), "n").groupBy("part").agg(F.sum("n").alias("n"))  # 26 to the 4 and 26 squared at most
+        seen = written(seen, "parts")
+        return seen.filter(F.length("part") == 4), seen.filter(F.length("part") == 2).withColumnRenamed("part", "pair")
+
+    @staticmethod
+    def _ends(docs: DataFrame, text: Column) -> tuple[DataFrame, DataFrame]:
+        found = F.array_distinct(F.regexp_extract_all(text, F.lit(r"\b[A-Za-z]{4,40}\b"), F.lit(0)))
+        ends = F.explode(F.transform(found, lambda w: F.struct(F.lower(F.substring(w, 1, 4)).alias("first"), F.lower(F.substring(w, -4, 4)).alias("last"))))
+        pairs = docs.select(ends.alias("e"))
+        parts = pairs.select(F.explode(F.array("e.first", "e.last")).alias("part")).groupBy("part").agg(F.count("*").alias("n"))  # 26 to the 4 at most
+        parts = written(parts, "parts")
+        return parts, parts.select(F.explode(F.sequence(F.lit(1), F.lit(3))).alias("i"), "part", "n").groupBy(F.expr("substring(part, i, 2)").alias("pair")).agg(F.sum("n").alias("n"))
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -179,7 +199,7 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc_
     if labelled.select("label").distinct().count() < 2:
         score = _announced().cast("double")
         return found.select("doc_id", "position", "candidate", score.alias("score"), (score >= THRESHOLD).alias("secret"))
-    known = Words(docs, text_col)
+    known = Words(docs, text_col, whole=True)
     judged = train(labelled, known).transform(with_features(found, known))
     score = F.get(vector_to_array("probability"), F.lit(1))
     return judged.select("doc_id", "position", "candidate", score.alias("score"), (score >= THRESHOLD).alias("secret"))

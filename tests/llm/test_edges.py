@@ -253,6 +253,25 @@ def test_secret_candidates_by_brute_force(spark):
             assert math.isclose(r[name], float(value), abs_tol=1e-9), (name, c)
 
 
+def test_words_are_counted_at_every_position(spark, monkeypatch):
+    """Middles, repeats, short and long words, words with letters beyond ASCII; runs beside digits are no words."""
+    texts = ["Extraordinary EXTRAORDINARY it on", "a" * 30 + "bcqz" + "d" * 30, "d\u00e9veloppement an", "9_zzzz zzzz9 9zzzz 1zzzz", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    said = [w for t in texts for w in re.findall(r"[^\W\d_]{2,}", (t or "").lower()) if "zzzz" not in w]
+    runs = lambda size: Counter(w[i : i + size] for w in said for i in range(len(w) - size + 1) if re.fullmatch("[a-z]+", w[i : i + size]))
+    used = []
+    monkeypatch.setattr(secret_scan, "train", lambda rows, known, *a: used.append(known) or 1 / 0)
+    labelled = secret_scan.candidates(spark.createDataFrame([(1, "token = abc123def456ghi789 and src/lib/module07/index.html")], "doc_id bigint, text string")).withColumn("label", (secret_scan.F.col("position") == 2).cast("double"))
+    with pytest.raises(ZeroDivisionError):  # what the scan itself learns from
+        secret_scan.scan(docs, labelled)
+    known, pairs, fours = used[0], runs(2), runs(4)
+    assert set(known.parts) == set(fours) and {"aord", "bcqz", "velo"} <= set(fours) and known.parts[0] == fours.most_common(1)[0][0]
+    for a in "abcdefghijklmnopqrstuvwxyz":
+        for b in "abcdefghijklmnopqrstuvwxyz":
+            whole = sum(pairs[a + x] + 1 for x in "abcdefghijklmnopqrstuvwxyz")
+            assert math.isclose(known.surprise[a + b], math.log2(whole / (pairs[a + b] + 1))), a + b
+
+
 def test_secrets_of_formats_that_were_not_learned(spark):
     """Findings of held-out formats and contexts against look-alikes that the corpus holds: precision and recall."""
     d = "/root/testdata/sf0.01"
