@@ -33,3 +33,13 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int, id_col:
     pa.default_memory_pool().release_unused()
     order = sorted(range(len(names)), key=lambda i: (names[i], texts[i]))  # the fit doesn't depend on the order of arrival
     return [texts[i] for i in order], [int(marks[i]) for i in order]
+
+
+def trimmed() -> None:
+    """Gives freed memory back to the system, where the C library can: a fit's arrays and texts else stay the driver's."""
+    import ctypes
+
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from logstrata.llm import hashing
 from logstrata.llm.arrow import with_columns
 from logstrata.llm.logistic import Logistic
-from logstrata.llm.sampling import labelled
+from logstrata.llm.sampling import labelled, trimmed
 
 THRESHOLD = 0.3
 CARRIER = bytes(range(128, 192))
@@ -219,7 +219,9 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = FITTED_ROWS, size: int = 1) -> Model:
-    return Model(*labelled(docs, labels, label, most), size)
+    model = Model(*labelled(docs, labels, label, most), size)
+    trimmed()
+    return model
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

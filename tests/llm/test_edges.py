@@ -307,6 +307,21 @@ def test_toxicity(spark, docs, empty):
     assert [r.score for r in toxicity.score(docs, toxicity.fit(table, labels.limit(0))).collect()] == [0.0] * len(ROWS)
 
 
+def test_the_driver_gives_memory_back(spark, monkeypatch):
+    """Garbage of finished steps goes with their tables, where the heap is full enough; a fit's freed memory goes back to the system."""
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    count = lambda: sum(beans().get(i).getCollectionCount() for i in range(beans().size()) if "Young" not in beans().get(i).getName())
+    monkeypatch.setattr(durable, "FULL", 0.0)
+    table, before = durable.written(spark.range(3)), count()
+    durable.dropped(table)
+    assert count() > before
+    called = []
+    monkeypatch.setattr(toxicity, "trimmed", lambda: called.append(1))
+    docs = spark.createDataFrame([(1, "a b"), (2, "c d")], "doc_id bigint, text string")
+    toxicity.fit(docs, spark.createDataFrame([(1, 1), (2, 0)], "doc_id bigint, toxic int"))
+    assert called
+
+
 def test_toxic_words_of_a_small_language():
     large = [(f"the plain text number {i} says little of note today", 0) for i in range(900)] + [(f"you are a worthless idiot number {i} and a clown", 1) for i in range(300)]
     small = [(f"una frase {i} sin nada" + " bomentera" * (i < 12), 0) for i in range(200)] + [(f"una frase {i} bomentera y bomentoso", 1) for i in range(20)]
